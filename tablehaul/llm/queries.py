@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, sharding, url_filter
+from . import chat, packing, pii, sharding, url_filter
 from .common import read
 
 QUERIES: dict = {}
@@ -35,3 +35,15 @@ def op2(spark, d):
 def op6(spark, d):
     out = sharding.shard(read(spark, d, "documents").select("doc_id", "text"), shards=16)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
+
+
+@query("op9_packing")
+def op9(spark, d):
+    import public_tokenizers
+
+    return packing.pack(read(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op10_pii")
+def op10(spark, d):
+    return pii.detect(read(spark, d, "documents"))
