@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, packing, pii, sharding, url_filter
-from .common import read
+from . import chat, decontaminate, packing, pii, sharding, toxicity, url_filter
+from .common import crc32_mod, read
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -47,3 +47,16 @@ def op9(spark, d):
 @query("op10_pii")
 def op10(spark, d):
     return pii.detect(read(spark, d, "documents"))
+
+
+@query("op3_toxicity")
+def op3(spark, d):
+    docs = read(spark, d, "documents")
+    index, known = toxicity.train(docs, read(spark, d, "labels"))
+    out = toxicity.score(docs, index, known)
+    return out.select("doc_id", (crc32_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", "evidence")
+
+
+@query("op5_decontamination")
+def op5(spark, d):
+    return decontaminate.leaks(read(spark, d, "documents"), read(spark, d, "benchmark"))
