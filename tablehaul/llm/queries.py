@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, packing, pii, sharding, toxicity, url_filter
+from . import ann, chat, decontaminate, packing, pii, sharding, toxicity, url_filter
 from .common import crc32_mod, read
 
 QUERIES: dict = {}
@@ -60,3 +60,8 @@ def op3(spark, d):
 @query("op5_decontamination")
 def op5(spark, d):
     return decontaminate.leaks(read(spark, d, "documents"), read(spark, d, "benchmark"))
+
+
+@query("op4_additive_ann")
+def op4(spark, d):
+    return ann.search(read(spark, d, "embeddings"))
