@@ -146,7 +146,9 @@ def search(embeddings: DataFrame, every: int = EVERY, top: int = TOP, rerank: in
     n_code, n_query = -(-total // code_block), max(1, -(-total // (every * query_block)))
     cands = codes.withColumn("scale", F.coalesce(F.col("norm") / F.nullif(F.col("code_norm"), F.lit(0.0)), F.lit(0.0))).groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n_code)).alias("cb")).agg(F.collect_list(F.struct("vec_id", "codes", "scale")).alias("c"))
     queries = vectors.filter(is_query).groupBy(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_query)).alias("qb")).agg(F.collect_list(F.struct("vec_id", "embedding")).alias("q"))
-    met = queries.withColumn("cb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_code - 1).cast("bigint")))).join(cands, "cb")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    # Both sides name the meetings they take part in, so each meeting is a key of its own and no task gets a block's whole row of them.
+    met = queries.withColumn("cb", upto(n_code)).join(cands.withColumn("qb", upto(n_query)), ["qb", "cb"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

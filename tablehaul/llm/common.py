@@ -45,3 +45,21 @@ def slices(batches: Iterable, size: int = 8 << 20) -> Iterator:
         step = max(1, int(b.num_rows * size / max(b.nbytes, 1)))
         for i in range(0, b.num_rows, step):
             yield b.slice(i, step)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for a session, so that their Python finds it wherever it runs."""
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if getattr(sc, "_tablehaul_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="tablehaul-")) / "tablehaul.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    sc.addPyFile(str(path))
+    sc._tablehaul_shipped = True

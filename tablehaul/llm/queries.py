@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, packing, pii, sharding, toxicity, url_filter
-from .common import crc32_mod, read
+from . import ann, chat, decontaminate, jaccard, packing, pii, sharding, toxicity, url_filter
+from .common import crc32_mod, read, ship
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -13,7 +13,11 @@ ORACLE: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def put(f):
-        QUERIES[name] = f
+        def run(spark, d):
+            ship(spark)
+            return f(spark, d)
+
+        QUERIES[name] = run
         if sql:
             ORACLE[name] = sql
         return f
@@ -65,3 +69,8 @@ def op5(spark, d):
 @query("op4_additive_ann")
 def op4(spark, d):
     return ann.search(read(spark, d, "embeddings"))
+
+
+@query("op7_jaccard_join")
+def op7(spark, d):
+    return jaccard.link(read(spark, d, "documents"))
