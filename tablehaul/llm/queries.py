@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, jaccard, packing, pii, sharding, toxicity, url_filter
+from . import ann, chat, decontaminate, jaccard, packing, pii, repeats, sharding, toxicity, url_filter
 from .common import crc32_mod, read, ship
 
 QUERIES: dict = {}
@@ -74,3 +74,8 @@ def op4(spark, d):
 @query("op7_jaccard_join")
 def op7(spark, d):
     return jaccard.link(read(spark, d, "documents"))
+
+
+@query("op8_repeats")
+def op8(spark, d):
+    return repeats.deduplicate(read(spark, d, "documents"))
