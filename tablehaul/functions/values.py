@@ -41,6 +41,11 @@ def kind_of(target: str) -> str:
     return KINDS.get(base) or ("other_time" if "time" in base else "other")
 
 
+def bare(c: Column) -> Column:
+    """Without white space around it; Spark's own trim takes blanks alone."""
+    return F.trim(c, F.lit(" \t\n\r\x0b\x0c\x85\xa0"))
+
+
 def is_zero_date(c: Column) -> Column:
     return F.coalesce(c.cast("string").startswith("0000-00-00"), F.lit(False))
 
@@ -65,22 +70,22 @@ def time_out_of_day(c: Column) -> Column:
 
 
 def to_boolean(c: Column) -> Column:
-    low = F.lower(F.trim(c))
+    low = F.lower(bare(c))
     return F.when(low.isin("true", "1", "yes", "t", "y"), True).when(low.isin("false", "0", "no", "f", "n"), False)
 
 
 def to_uuid(c: Column) -> Column:
     """Dashed, braced, ``urn:uuid:`` or 32 hex digits, to lower-case dashed text; null otherwise."""
-    t = F.lower(F.trim(c))
+    t = F.lower(bare(c))
     t = F.regexp_replace(t, r"\Aurn:uuid:", "")
     t = F.when(t.rlike(r"\A\{[0-9a-f-]{36}\}\z"), F.substring(t, 2, 36)).otherwise(t)
-    bare = F.replace(t, F.lit("-"), F.lit(""))
+    digits = F.replace(t, F.lit("-"), F.lit(""))
     shaped = t.rlike(UUID_DASHED) | c.rlike(r"(?i)\A\s*[0-9a-f]{32}\s*\z")
-    return F.when(shaped, dashed(bare))
+    return F.when(shaped, dashed(digits))
 
 
-def dashed(bare: Column) -> Column:
-    return F.concat_ws("-", *(F.substring(bare, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+def dashed(digits: Column) -> Column:
+    return F.concat_ws("-", *(F.substring(digits, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
 
 
 def uuid_from_bytes(c: Column) -> Column:
@@ -88,29 +93,29 @@ def uuid_from_bytes(c: Column) -> Column:
 
 
 def to_date(c: Column) -> Column:
-    t = F.trim(c)
+    t = bare(c)
     return F.when(t.rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), t.try_cast("date"))
 
 
 def to_timestamp(c: Column) -> Column:
-    t = F.trim(c)
+    t = bare(c)
     return F.when(t.rlike(TIMESTAMP), t.try_cast("timestamp_ntz"))
 
 
 def to_integer(c: Column) -> Column:
-    t = F.trim(c)
+    t = bare(c)
     return F.when(t.rlike(r"\A[+-]?[0-9]+\z"), t.try_cast("bigint"))
 
 
 def numeric_text(c: Column) -> Column:
     """The trimmed text where a 64-bit float can hold its size; the text keeps every digit."""
-    t = F.trim(c)
+    t = bare(c)
     size = F.abs(F.when(t.rlike(FLOAT), t).try_cast("double"))
     return F.when(size <= F.lit(1.7976931348623157e308), t)
 
 
 def to_time(c: Column) -> Column:
-    t = F.trim(c)
+    t = bare(c)
     return F.when(t.rlike(CLOCK), t)
 
 
@@ -159,12 +164,12 @@ def transform(p: ValuePlan, dtype: T.DataType) -> tuple[Column, Column]:
     elif text and kind in {"date", "timestamp", "integer", "numeric", "time", "other_time"}:
         value = {"date": to_date, "timestamp": to_timestamp, "integer": to_integer, "numeric": numeric_text}.get(kind, to_time)(held)
     elif text and kind == "other":
-        value = F.trim(held)
+        value = bare(held)
     if kind not in {"enum", "text", "bytea"}:
-        empty = (F.trim(held) == "") if text else F.lit(False)
+        empty = (bare(held) == "") if text else F.lit(False)
         why = F.when(empty, F.lit("empty")).otherwise(F.lit(f"not a valid {kind}"))
         if kind in {"time", "other_time"} and text:
-            why = F.when(empty, F.lit("empty")).when(F.trim(held).rlike(DURATION), F.lit(INTERVAL_HINT)).otherwise(F.lit(f"not a valid {kind}"))
+            why = F.when(empty, F.lit("empty")).when(bare(held).rlike(DURATION), F.lit(INTERVAL_HINT)).otherwise(F.lit(f"not a valid {kind}"))
         reason = F.when(held.isNotNull() & (value.isNull() | empty), why)
     if not p.nullable:
         reason = F.when(c.isNull(), F.lit("null in a NOT NULL column")).when(zero, F.lit("zero date in a NOT NULL column")).otherwise(reason)

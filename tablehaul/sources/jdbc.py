@@ -37,7 +37,7 @@ def range_predicates(key: str, ranges: Sequence[tuple[object, object]], q: str =
     name = q + key.replace(q, q * 2) + q
     out = []
     for low, high in ranges:
-        held = [f"{name} > {literal(low)}"] * (low is not None) + [f"{name} <= {literal(high)}"] * (high is not None)
+        held = [f"{name} {op} {literal(v)}" for op, v in ((">", low), ("<=", high)) if v is not None]
         out.append(" AND ".join(held) or "1 = 1")
     return out
 
