@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def read(spark: SparkSession, base: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{table}.parquet")
 
@@ -26,10 +29,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: later reads don't compute it anew, and lost executors lose nothing."""
+    """``df`` written to the shared folder and read again: later reads don't compute it anew, and lost executors lose nothing.
+
+    Shuffle files of the write are freed when it ends, for nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -3,28 +3,35 @@
 Every byte position starts a suffix, of which only the first ``WINDOW`` bytes count. Suffixes are sorted by most
 significant digits first, a group of one leaves the sort, and groups that are equal through the last digit are
 exactly the repeated windows. Digits are fingerprints of content, so equal suffixes get equal digits wherever they
-lie, and passes are group-bys over fingerprints, not over text:
+lie, and passes are group-bys over fingerprints, not over text.
 
-1. First digit: the window's anchor, the ``GRAM``-byte string in it with the least fingerprint (the last of equals).
-   Neighbours share anchors, so this pass counts anchors, about one for a hundred bytes. A window whose anchor occurs
-   once is unique and leaves.
-2. Second digit: the stretch from an anchor to the first later anchor that makes it at least ``WINDOW`` bytes. A
-   stretch that occurs twice settles all windows in it as repeated. One occurrence of each repeated stretch goes on, to stand for the others.
-3. Last digit: the whole window. It is read only for windows that no repeated stretch holds, and for those that stand for
-   others; what is equal here is repeated.
+A window belongs to its anchor, the ``GRAM``-byte string in it with the least fingerprint (the last of equals), and has
+an offset d to it. Neighbours share anchors, about one for a hundred bytes, so windows are sorted in runs: those of one
+anchor whose offsets fall into one block. All windows of a block hold its core; a run's hull is what its windows cover.
+A pass groups runs by core and then by hull:
 
-Fingerprints have 64 bits (the last digit 128). Every pass is a pre-aggregated group-by and a join on its result, so
-groups of any size are split among tasks; a text moves once, and only if it holds a repeated anchor.
+- a core that occurs once rules its run out: none of its windows is anywhere else;
+- a hull that occurs twice settles its runs: all their windows are repeated;
+- where a core has several hulls and one of them occurs once, one run of each hull goes on to the next pass, which
+  reads smaller blocks; of hulls that occur twice it only stands for the others.
+
+The first pass has one block (the core is the anchor), the second blocks of the square root of all offsets, the last
+single windows, where core and hull are the window. So around an edit of a near copy only the runs at its two edges
+are read to the end.
+
+Core and hull have 64 bits each, by different byte tables. Every pass is pre-aggregated group-bys and joins on their
+staged results, so groups of any size are split among tasks; a text moves only if it holds a repeated anchor.
 
 Defined results: matches never cross rows; overlaps with itself count; a null text is empty; texts are known by a
-64-bit hash and length, equal texts are handled once and get one result; texts shorter than the window lose nothing;
-doc_ids may repeat or be null; other columns are ignored; an empty table gives no rows.
+64-bit hash and length, equal texts get one result; texts shorter than the window lose nothing; doc_ids may repeat or
+be null; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +39,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, staged
-from .hashing import K1, OTHER, PLAIN, mix, powers, prefix
+from .hashing import K1, K2, K3, OTHER, PLAIN, mix, powers, prefix
 
-WINDOW, SLICE = 400, 2 << 20
+WINDOW, SLICE, ROWS = 400, 2 << 20, 1 << 16
+SETTLED, OPEN, STANDS = 1, 2, 4
 
 
 def slide_min(h: np.ndarray, w: int) -> np.ndarray:
@@ -49,31 +57,25 @@ def slide_min(h: np.ndarray, w: int) -> np.ndarray:
 
 
 class Suffixes:
-    """A text's windows with their digits."""
+    """A text's windows, by anchor: ``pos``, and least and greatest offset of the windows that belong to it.
+
+    A run is numbered ``anchor * offsets + block``.
+    """
 
     def __init__(self, raw: np.ndarray, window: int = WINDOW):
         self.raw, self.window = raw, window
-        self.gram = max(1, window // 2)
-        self.n = len(raw) - window + 1
-        w = window - self.gram + 1
-        self.sums, self.inverse = prefix(raw, PLAIN), powers(len(raw) + 1)[1]
-        h = self.span(np.arange(len(raw) - self.gram + 1), self.gram)
-        least = slide_min(h, w)
-        at = self._anchors(h, least, w)
-        self.own = at  # of each window: the position of its anchor
-        self.pos = np.unique(at)
-        self.digit = h[self.pos]
-        ends = self.pos + self.gram
-        j = np.searchsorted(ends, self.pos + window)
-        ok = j < len(self.pos)
-        self.stretch_of = np.flatnonzero(ok)
-        self.stretch_end = ends[j[ok]]
-        start = self.pos[ok]
-        self.stretch = mix(self.span(start, self.stretch_end - start) ^ ((self.stretch_end - start).astype(np.uint64) * K1))
-
-    def span(self, a: np.ndarray, n) -> np.ndarray:
+        gram = max(1, window // 2)
+        self.n, self.offsets = len(raw) - window + 1, window - gram + 1
+        self.inverse = powers(len(raw) + 1)[1]
+        self.sums, self.second = prefix(raw, PLAIN), prefix(raw, OTHER)
+        h = self._span(self.sums, np.arange(len(raw) - gram + 1), gram)
+        own = self._anchors(h, slide_min(h, self.offsets), self.offsets)
+        self.pos, first, many = np.unique(own, return_index=True, return_counts=True)
+        self.greatest, self.least = self.pos - first, self.pos - (first + many - 1)
+
+    def _span(self, sums: np.ndarray, a: np.ndarray, n) -> np.ndarray:
         """Fingerprints of raw[a : a + n]."""
-        return mix((self.sums[a + n] - self.sums[a]) * self.inverse[a])
+        return mix((sums[a + n] - sums[a]) * self.inverse[a])
 
     @staticmethod
     def _anchors(h: np.ndarray, least: np.ndarray, w: int) -> np.ndarray:
@@ -89,19 +91,36 @@ class Suffixes:
             wrong = wrong[h[out[wrong]] != least[wrong]]
         return out
 
-    def settled(self, stretches: np.ndarray) -> np.ndarray:
-        """Windows inside the stretches numbered."""
+    def bounds(self, run: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(anchor position, least offset, greatest offset) of runs."""
+        i, r = run // self.offsets, run % self.offsets
+        return self.pos[i], np.maximum(self.least[i], r * block), np.minimum(self.greatest[i], (r + 1) * block - 1)
+
+    def split(self, run: np.ndarray, block: int, into: int) -> tuple[np.ndarray, np.ndarray]:
+        """(runs of smaller blocks, index of the run that each is a part of)."""
+        _, low, high = self.bounds(run, block)
+        many = high // into - low // into + 1
+        parent = np.repeat(np.arange(len(run)), many)
+        step = np.arange(len(parent)) - np.repeat(np.cumsum(many) - many, many)
+        return (run // self.offsets * self.offsets + low // into)[parent] + step, parent
+
+    def digits(self, run: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+        """(core, hull) of runs, each with where it lies about the anchor."""
+        pos, low, high = self.bounds(run, block)
+        r = run % self.offsets
+        end = np.minimum((r + 1) * block, self.offsets) - 1
+        core = self._span(self.sums, pos - r * block, self.window - (end - r * block))
+        hull = self._span(self.second, pos - high, self.window + high - low)
+        return mix(core ^ (r.astype(np.uint64) * K1)), mix(hull ^ (low.astype(np.uint64) * K2) ^ (high.astype(np.uint64) * K3))
+
+    def starts(self, run: np.ndarray, block: int) -> np.ndarray:
+        """Which windows are in the runs."""
+        pos, low, high = self.bounds(run, block)
         edge = np.zeros(self.n + 1, np.int64)
-        np.add.at(edge, self.pos[self.stretch_of[stretches]], 1)
-        np.add.at(edge, self.stretch_end[stretches] - self.window + 1, -1)
+        np.add.at(edge, pos - high, 1)
+        np.add.at(edge, pos - low + 1, -1)
         return np.cumsum(edge)[:-1] > 0
 
-    def whole(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The last digit of windows, twice 64 bits."""
-        if not hasattr(self, "second"):
-            self.second = prefix(self.raw, OTHER)
-        return self.span(q, self.window), mix((self.second[q + self.window] - self.second[q]) * self.inverse[q])
-
 
 def _widest(least: np.ndarray, n: int, w: int) -> np.ndarray:
     """For each position the greatest of the window minima that cover it: it is an anchor if it equals that."""
@@ -114,45 +133,77 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
 
 
-def digits(texts: DataFrame, window: int) -> DataFrame:
-    """(key, i, v): anchors have even, stretches odd numbers i; v is the digit. Input: key, raw."""
+def _packed(parts: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+    """Batches of some ``ROWS`` rows from arrays of (key, run, core, hull, open) for each text."""
+    held: list[tuple] = []
+    size = 0
+
+    def batch() -> pa.RecordBatch:
+        key = np.repeat(np.array([h[0] for h in held], np.int64), [len(h[1]) for h in held])
+        run, v, u, is_open = (np.concatenate([h[j] for h in held]) for j in range(1, 5))
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(run), pa.array(v.view(np.int64)), pa.array(u.view(np.int64)), pa.array(is_open)], ["key", "run", "v", "u", "open"])
+
+    for part in parts:
+        held.append(part)
+        size += len(part[1])
+        if size >= ROWS:
+            yield batch()
+            held, size = [], 0
+    if size:
+        yield batch()
+
+
+DIGITS = "key long, run long, v long, u long, open boolean"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def first_digits(texts: DataFrame, window: int) -> DataFrame:
+    """A run of all windows for each anchor of key, raw."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for key, raw in _texts(batches):
             s = Suffixes(np.frombuffer(raw, np.uint8), window)
-            i = np.concatenate([2 * np.arange(len(s.pos)), 2 * s.stretch_of + 1])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), key)), pa.array(i), pa.array(np.concatenate([s.digit, s.stretch ^ K1]).view(np.int64))], ["key", "i", "v"])
+            run = np.arange(len(s.pos)) * s.offsets
+            yield key, run, *s.digits(run, s.offsets), np.ones(len(run), bool)
 
-    return texts.mapInArrow(run, "key long, i long, v long")
+    return texts.mapInArrow(lambda batches: _packed(parts(batches)), DIGITS)
 
 
-def _marks(s: Suffixes, marks: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(settled windows, windows still open, windows that stand for others)."""
-    i = np.array([m["i"] for m in marks], np.int64)
-    stands = np.array([m["first"] for m in marks], bool)
-    anchors, odd = i[i % 2 == 0] // 2, i % 2 == 1
-    back = np.full(len(s.pos), -1)
-    back[s.stretch_of] = np.arange(len(s.stretch_of))
-    settled = s.settled(back[i[odd] // 2])
-    good = np.zeros(len(s.pos), bool)
-    good[anchors] = True
-    open_ = good[np.searchsorted(s.pos, s.own)] & ~settled
-    return settled, open_, s.settled(back[i[odd & stands] // 2])
+def next_digits(marked: DataFrame, window: int, block: int, into: int) -> DataFrame:
+    """Runs of smaller blocks from the runs that go on. Input: key, raw, open, stands."""
 
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for key, raw, is_open, stands in _texts(batches):
+            s = Suffixes(np.frombuffer(raw, np.uint8), window)
+            run, parent = s.split(np.array(is_open + stands, np.int64), block, into)
+            yield key, run, *s.digits(run, into), parent < len(is_open)
 
-def last_digits(marked: DataFrame, window: int) -> DataFrame:
-    """(key, q, v, u, open, copies) of the windows read to the end."""
+    return marked.mapInArrow(lambda batches: _packed(parts(batches)), DIGITS)
+
+
+def resolve(runs: DataFrame, name: str) -> DataFrame:
+    """(key, run, what): what becomes of runs, as bits of SETTLED, OPEN and STANDS. Runs ruled out are left out.
+
+    A run that stands for others counts as two.
+    """
+    weight = F.when(F.col("open"), 1).otherwise(2)
+    cores = runs.groupBy("v").agg(F.sum(weight).alias("n"), F.min("u").alias("lo"), F.max("u").alias("hi"), F.max("open").alias("any"))
+    cores = staged(cores.filter("n > 1 and any").select("v", (F.col("lo") != F.col("hi")).alias("mixed")), f"{name}-cores")
+    part = lambda c: F.when(F.col("mixed"), F.col(c)).alias(c)
+    hits = staged(runs.join(cores, "v").filter("open or mixed").select("key", "run", part("v"), part("u"), "open", "mixed"), f"{name}-hits")
+    mixed = hits.filter("mixed")
+    hulls = staged(mixed.groupBy("v", "u").agg(F.sum(weight).alias("n"), F.min(F.struct("key", "run")).alias("first")), f"{name}-hulls")
+    undone = hulls.groupBy("v").agg(F.min("n").alias("least")).filter("least = 1").select("v", F.lit(True).alias("undone"))
+    hulls = staged(hulls.join(undone, "v", "left"), f"{name}-undone")
+    first = (F.col("first.key") == F.col("key")) & (F.col("first.run") == F.col("run"))
+    bit = lambda c, value: F.when(c, value).otherwise(0)
+    what = F.when(F.col("n") == 1, OPEN).otherwise(bit(F.col("open"), SETTLED) + bit(F.coalesce("undone", F.lit(False)) & first, STANDS))
+    split = mixed.select("key", "run", "v", "u", "open").join(hulls, ["v", "u"]).select("key", "run", what.alias("what")).filter("what > 0")
+    return staged(hits.filter("not mixed").select("key", "run", F.lit(SETTLED).alias("what")).unionByName(split), f"{name}-runs")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, raw, copies, marks in _texts(batches):
-            s = Suffixes(np.frombuffer(raw, np.uint8), window)
-            _, open_, stands = _marks(s, marks)
-            q = np.flatnonzero(open_ | stands)
-            if len(q):
-                v, u = s.whole(q)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), key)), pa.array(q), pa.array(v.view(np.int64)), pa.array(u.view(np.int64)), pa.array(open_[q]), pa.array(np.full(len(q), copies))], ["key", "q", "v", "u", "open", "copies"])
 
-    return marked.mapInArrow(run, "key long, q long, v long, u long, open boolean, copies long")
+def by_text(runs: DataFrame, **bits: int) -> DataFrame:
+    """key and, for each name, the text's own runs with that bit."""
+    return runs.groupBy("key").agg(*(F.collect_set(F.when(F.col("what").bitwiseAND(bit) > 0, F.col("run"))).alias(name) for name, bit in bits.items()))
 
 
 def removal(raw: bytes, window: int, starts: np.ndarray) -> tuple[int, int, str]:
@@ -170,26 +221,37 @@ def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     raw = F.coalesce("text", F.lit("")).cast("binary")
     keyed = docs.select("doc_id", raw.alias("raw")).withColumn("n_bytes", F.octet_length("raw").cast("bigint")).withColumn("key", F.xxhash64("raw", "n_bytes"))
     base = staged(keyed.select("doc_id", "key", "n_bytes", F.sha2("raw", 256).alias("sha")), "repeats-base")
-    copies = base.filter(F.col("n_bytes") >= window).groupBy("key").agg(F.count("*").alias("copies"))
-    long_ = keyed.filter(F.col("n_bytes") >= window)
-    occurrences = staged(digits(long_.select("key", "raw"), window), "repeats-digits")
-    repeated = occurrences.groupBy("v").agg(F.count("*").alias("n"), F.min(F.struct("key", "i")).alias("first")).filter("n > 1").select("v", "first")
-    hits = occurrences.join(repeated, "v").select("key", "i", ((F.col("first.key") == F.col("key")) & (F.col("first.i") == F.col("i"))).alias("first"))
-    marks = hits.groupBy("key").agg(F.collect_set(F.struct("i", "first")).alias("marks"))  # a text's own anchors
-    once = long_.join(marks.join(copies, "key"), "key").groupBy("key").agg(F.first("raw").alias("raw"), F.first("copies").alias("copies"), F.first("marks").alias("marks"))
-    marked = staged(once, "repeats-marked")
-    ends = staged(last_digits(marked, window), "repeats-windows")
-    again = ends.groupBy("v", "u").agg(F.sum("copies").alias("n")).filter("n > 1").select("v", "u")
-    starts = ends.filter("open").join(again, ["v", "u"]).groupBy("key").agg(F.collect_set("q").alias("starts"))  # a text's own windows
+    copies = base.filter(F.col("n_bytes") >= window).groupBy("key").agg((F.count("*") > 1).alias("copied"))
+    long_ = keyed.filter(F.col("n_bytes") >= window).select("key", "raw")
+    blocks = [window - max(1, window // 2) + 1, max(1, math.isqrt(window // 2)), 1]
+    goes_on = F.size("open") + F.size("stands") > 0
+    # A text that is there twice is repeated as a whole; its runs matter only where they stand for others.
+    top = resolve(staged(first_digits(long_, window), "repeats-digits"), "repeats-first")
+    marks = by_text(top, settled=SETTLED, open=OPEN, stands=STANDS).join(copies, "key").filter(goes_on | ~F.col("copied"))
+    marks = staged(marks, "repeats-marks")
+    marked = staged(long_.join(marks.select("key"), "key").groupBy("key").agg(F.first("raw").alias("raw")), "repeats-texts")
+    passes = [top]
+    for block, into in zip(blocks, blocks[1:], strict=False):
+        on = by_text(passes[-1].filter(F.col("what").bitwiseAND(OPEN + STANDS) > 0), open=OPEN, stands=STANDS)
+        runs = next_digits(marked.join(on, "key").select("key", "raw", "open", "stands"), window, block, into)
+        passes.append(resolve(staged(runs, "repeats-digits"), "repeats-next"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, raw, marks, starts in _texts(batches):
+        for key, raw, *settled in _texts(batches):
             s = Suffixes(np.frombuffer(raw, np.uint8), window)
-            settled = _marks(s, marks)[0]
-            settled[np.array(starts or [], np.int64)] = True
-            n, runs, sha = removal(raw, window, np.flatnonzero(settled))
-            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([n], pa.int64()), pa.array([runs], pa.int64()), pa.array([sha])], ["key", "n_removed", "n_spans", "kept"])
-
-    done = marked.select("key", "raw", "marks").join(starts, "key", "left").select("key", "raw", "marks", "starts").mapInArrow(finish, "key long, n_removed long, n_spans long, kept string")
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
-    return base.join(done, "key", "left").select("doc_id", "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256"))
+            starts = np.zeros(s.n, bool)
+            for run, block in zip(settled, blocks, strict=True):
+                starts |= s.starts(np.array(run or [], np.int64), block)
+            n, spans, sha = removal(raw, window, np.flatnonzero(starts))
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([n], pa.int64()), pa.array([spans], pa.int64()), pa.array([sha])], ["key", "n_removed", "n_spans", "kept"])
+
+    read = marked.join(marks.filter(~F.col("copied")).select("key", F.col("settled").alias("s0")), "key")
+    for i, p in enumerate(passes[1:], 1):
+        read = read.join(by_text(p.filter(F.col("what").bitwiseAND(SETTLED) > 0), **{f"s{i}": SETTLED}), "key", "left")
+    done = read.select("key", "raw", "s0", "s1", "s2").mapInArrow(finish, "key long, n_removed long, n_spans long, kept string")
+    whole = copies.filter("copied").select("key", F.lit(True).alias("whole"))
+    result = lambda all_, some, none: F.when(F.col("whole"), all_).otherwise(F.coalesce(some, none))
+    return base.join(staged(done, "repeats-done"), "key", "left").join(whole, "key", "left").select(
+        "doc_id", "n_bytes", result(F.col("n_bytes"), "n_removed", F.lit(0)).cast("bigint").alias("n_removed"), result(F.lit(1), "n_spans", F.lit(0)).cast("bigint").alias("n_spans"),
+        result(F.sha2(F.lit(b""), 256), "kept", "sha").alias("kept_sha256"),
+    )
