@@ -192,7 +192,7 @@ def resolve(runs: DataFrame, name: str) -> DataFrame:
     hits = staged(runs.join(cores, "v").filter("open or mixed").select("key", "run", part("v"), part("u"), "open", "mixed"), f"{name}-hits")
     mixed = hits.filter("mixed")
     hulls = staged(mixed.groupBy("v", "u").agg(F.sum(weight).alias("n"), F.min(F.struct("key", "run")).alias("first")), f"{name}-hulls")
-    undone = hulls.groupBy("v").agg(F.min("n").alias("least")).filter("least = 1").select("v", F.lit(True).alias("undone"))
+    undone = staged(hulls.filter("n = 1").select("v", F.lit(True).alias("undone")).distinct(), f"{name}-open")  # staged, so that a core of many hulls can be split in the join
     hulls = staged(hulls.join(undone, "v", "left"), f"{name}-undone")
     first = (F.col("first.key") == F.col("key")) & (F.col("first.run") == F.col("run"))
     bit = lambda c, value: F.when(c, value).otherwise(0)
