@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+ARROW_BYTES, ARROW_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 
 def read(spark: SparkSession, base: str, table: str) -> DataFrame:
@@ -31,16 +32,20 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: later reads don't compute it anew, and lost executors lose nothing.
 
-    Shuffle files of the write are freed when it ends, for nothing reads them again.
+    Shuffle files of the write are freed when it ends, for nothing reads them again. Batches sent to Python hold some
+    ``ARROW_LIMIT`` each, which bounds what both sides keep of wide rows.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(FREE_SHUFFLES, "false")
-    spark.conf.set(FREE_SHUFFLES, "true")
+    during = {FREE_SHUFFLES: "true", ARROW_BYTES: ARROW_LIMIT}
+    before = {k: spark.conf.get(k) for k in during}
+    for k, v in during.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(FREE_SHUFFLES, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
