@@ -1,13 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of ``\\w`` in lower case. An item's seeds are its word n-grams (``N`` words; the whole item if shorter)
-that few documents hold: up to ``RARE`` of all documents, and in any case the item's ``LEAST`` rarest, so that a
-passage which leaked into very many documents still has seeds. Frequencies are counted over all documents. Seeds that
-a document holds name the items to compare, and where; the words around them are aligned with the item
+Words are runs of ``\\w`` in lower case. An item's seeds are all its word n-grams (``N`` words; the whole item if
+shorter), however many documents hold them: those of a widely leaked part are frequent, and may be all that a copy
+has. Seeds that a document holds name the items to compare, and where; the words around them are aligned with the item
 (match 2, mismatch -1, gap -1), which finds paraphrased, cut and edited copies. The score is the alignment's share of
-what the whole item would reach; a pair from ``THRESHOLD`` up is a leak.
+what the whole item would reach; a pair from ``THRESHOLD`` up is a leak. A window reaches as far as any such alignment
+through its seeds can, and is passed over only if it shares too few words with the item for any to exist, so every
+leak that keeps ``N`` words of the item in a row is found. One that keeps fewer everywhere has no seed.
 
-Items go in groups of ``GROUP``, each with its own passes over the documents, so what a task holds has a fixed bound
+Items go in groups of ``GROUP``, each with its own pass over the documents, so what a task holds has a fixed bound
 for any benchmark. No document is shuffled.
 
 Defined results: null and empty texts and items match nothing; repeated rows and repeated items are judged each (an
@@ -17,17 +18,15 @@ item's number is carried, not its key alone); other columns are ignored; empty t
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import slices
 
-N, RARE, LEAST, THRESHOLD, GROUP = 3, 0.002, 12, 0.5, 20_000
+N, THRESHOLD, GROUP = 3, 0.5, 20_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 WORD = re.compile(r"\w+")
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -59,6 +58,7 @@ class Items:
             w = np.array([self.vocab.setdefault(x, len(self.vocab)) for x in words(text)], np.int64)
             self.ids.append(item_id)
             self.words.append(w)
+        self.bags = [np.unique(w, return_counts=True) for w in self.words]
         self.sizes = sorted({min(N, len(w)) for w in self.words} - {0})
         for k, w in enumerate(self.words):
             if len(w):
@@ -83,20 +83,10 @@ class Items:
                 found.append(k[hit])
         return (np.concatenate(at), np.concatenate(found)) if at else (np.zeros(0, int), np.zeros(0, np.uint64))
 
-    def keep(self, df: dict[int, int], n_docs: int, rare: float = RARE, least: int = LEAST) -> None:
-        """Leaves the seeds that are rare in the corpus, and each item's rarest."""
-        limit, good = rare * n_docs, set()
-        mine: dict[int, list[tuple[int, int]]] = {}
-        for key, places in self.grams.items():
-            n = df.get(key, 0)
-            if 0 < n <= limit:
-                good.add(key)
-            for k, _ in places:
-                mine.setdefault(k, []).append((n, key))
-        for found in mine.values():
-            good |= {key for n, key in sorted(set(x for x in found if x[0]))[:least]}
-        self.grams = {k: v for k, v in self.grams.items() if k in good}
-        self.seeds = np.array(sorted(self.grams), np.uint64)
+    def shared(self, k: int, window: np.ndarray) -> int:
+        """Words that item ``k`` and a sorted window have in common, each as often as both hold it: no alignment matches more."""
+        w, n = self.bags[k]
+        return int(np.minimum(n, np.searchsorted(window, w, "right") - np.searchsorted(window, w)).sum())
 
 
 def _matrix(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int]:
@@ -137,16 +127,18 @@ def matches(items: Items, text: str | None, threshold: float) -> list[tuple[int,
     for k, spots in diagonals.items():
         w = items.words[k]
         n, best = len(w), (0, 0, 0)
+        least, reach = threshold * n, int(MATCH * n * (1 - threshold) / -GAP)  # matches needed; gaps that a leak can afford
         spots = sorted(set(spots))
         i = 0
         while i < len(spots):
             j = i
             while j + 1 < len(spots) and spots[j + 1][0] - spots[i][0] <= n:  # places of one copy lie on near diagonals
                 j += 1
-            low, high = max(0, spots[i][0] - n // 2), min(len(ids), spots[j][0] + n + n // 2)
-            s, a, b = align(w, ids[low:high])
-            if s > best[0]:
-                best = (s, low + a, low + b)
+            low, high = max(0, spots[i][0] - reach), min(len(ids), spots[j][0] + n + reach)
+            if items.shared(k, np.sort(ids[low:high])) >= least:
+                s, a, b = align(w, ids[low:high])
+                if s > best[0]:
+                    best = (s, low + a, low + b)
             i = j + 1
         if (score := best[0] / (MATCH * n)) >= threshold:
             out.append((k, score, best[1], best[2], len({p for _, p in spots})))
@@ -165,31 +157,12 @@ def _groups(benchmark: DataFrame, group: int) -> Iterator[list[tuple[int, str |
         yield rows
 
 
-def seed_frequencies(docs: DataFrame, items: Items) -> tuple[int, dict[int, int]]:
-    """(documents, documents with each n-gram of the items), over all rows; a task sends a row for each n-gram it met."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = Counter(), 0
-        for b in slices(batches):
-            n += b.num_rows
-            for text in b.column(0).to_pylist():
-                df.update(np.unique(items.hits(items.numbered(text))[1]).view(np.int64).tolist())
-        yield pa.RecordBatch.from_arrays([pa.array([*df, None], pa.int64()), pa.array([*df.values(), n], pa.int64())], ["key", "n"])
-
-    got = docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()  # a row for each n-gram of the group
-    df = {r.key: r.n for r in got}
-    total = df.pop(None, 0)
-    return total, {k % 2**64: n for k, n in df.items()}
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, group: int = GROUP) -> DataFrame:
     """doc_id, item_id, score, word_start, word_end, n_seeds: each leaked item of each document, at its best place."""
     schema = "doc_id long, item_id long, score double, word_start long, word_end long, n_seeds long"
     out = None
     for rows in _groups(benchmark, group):
         items = Items(rows)
-        total, df = seed_frequencies(docs, items)
-        items.keep(df, total)
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             for b in slices(batches):
@@ -206,8 +179,6 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     """``docs`` without rows that leak an item: judged where they lie."""
     for rows in _groups(benchmark, group):
         items = Items(rows)
-        total, df = seed_frequencies(docs, items)
-        items.keep(df, total)
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             for b in slices(batches):

@@ -84,3 +84,26 @@ def test_edges(spark):
     assert got == sorted([("None", "1"), ("None", "None"), ("4", "4"), ("4", "4")])
     assert D.leaks(df.limit(0), b).count() == 0 and D.leaks(df, b.limit(0)).count() == 0
     assert D.keep_clean(df, b).columns == df.columns
+
+
+def test_partial_copies_that_many_documents_share(spark):
+    r = random.Random(3)
+    say = lambda n: ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    item = say(60)
+    b = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    for n, copies in ((1000, 30), (100, 30)):
+        parts = [item] + [item[:40]] * copies
+        docs = [(d, " ".join(say(20) + (parts[d] if d < len(parts) else []) + say(20))) for d in range(n)]
+        df = spark.createDataFrame(docs, "doc_id long, text string")
+        got = {x.doc_id: x.score for x in D.leaks(df, b).collect()}
+        assert set(got) == set(range(copies + 1)) and got[0] == 1 and all(abs(got[d] - 40 / 60) < 1e-9 for d in range(1, copies + 1))
+        assert {x.doc_id for x in D.keep_clean(df, b).collect()} == set(range(copies + 1, n))
+
+
+def test_windows_reach_as_far_as_a_leak_can():
+    r = random.Random(5)
+    say = lambda n: ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    item, noise = say(20), say(60)
+    text = noise[:20] + item[:3] + noise[20:37] + item[:10] + noise[37:53] + item[10:] + noise[53:]  # a stray seed 20 words before a copy with 16 words put in
+    (k, score, a, e, _), = D.matches(D.Items([(1, " ".join(item))]), " ".join(text), 0.5)
+    assert k == 0 and score == (2 * 20 - 16) / 40 and text[a:e] == item[:10] + noise[37:53] + item[10:]
