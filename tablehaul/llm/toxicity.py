@@ -1,13 +1,15 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 1. A bounded sample of labelled rows (``PER_CLASS`` of either class, in hash order) is the pool of examples.
-2. Features are word stems: a word's first 4 to 8 letters, and the word. Those tied to the toxic class in the sample (a G
-   test beyond ``G_MIN``, at least ``RATIO`` times as frequent) span the space, ``FEATURES`` at most; of stems that
-   begin alike the shortest stays.
-3. Document frequencies of these features are counted over all documents.
-4. The examples' unit TF-IDF vectors form an inverted index in blocks of ``BLOCK`` examples; each feature keeps its
-   largest weight in each block. A document's vector times those maxima bounds what a block can offer, so blocks are
-   opened from the highest bound down until the k-th best cosine beats the next bound: the exact k nearest.
+2. Features are all word stems of the examples: a word's first 4 and first 5 letters, a shorter word as it is, and
+   pairs of letters in scripts without spaces. None is left out; common ones weigh little.
+3. Document frequencies of these features are counted over all documents. A feature weighs its count times the square
+   of its IDF, which says more than plain IDF in texts full of function words.
+4. The examples' unit vectors form an inverted index: postings (example, weight) by feature and block of ``BLOCK``
+   examples, each with its largest weight. Features that more than one in ``HEAD`` examples hold have no postings but a
+   column of a matrix, which is multiplied by ``TEXTS`` documents at once. What a block's examples have from there, and
+   a document's vector times the maxima, bound what a block can offer, so blocks are opened from the highest bound
+   down, in waves, until the k-th best cosine beats the next bound: the exact k nearest.
 5. Neighbours vote with weight 1 / (distance + ``NEAR``), class sizes set right; votes pass an isotonic curve fitted on
    leave-one-out votes of the examples. A document that shares no feature with any example gets the rate that
    holds for such examples. Evidence: the nearest examples and their cosines.
@@ -35,14 +37,16 @@ from pyspark.sql import functions as F
 
 from .common import crc32_mod, slices
 
-PER_CLASS, FEATURES, G_MIN, RATIO = 4000, 512, 30.0, 25.0
-K, NEAR, BLOCK, EVIDENCE = 15, 0.05, 64, 3
+PER_CLASS = 4000
+K, NEAR, BLOCK, WAVE, EVIDENCE = 30, 0.05, 64, 4, 3
+HEAD, TEXTS = 12, 64
 WORD = re.compile(r"\w+")
-LEAST_DOCS = 6
 
 
 def stems(word: str) -> tuple[str, ...]:
-    return (*(word[:n] for n in range(4, min(9, len(word)))), word)
+    if word > "\u2e80":
+        return tuple(word[i : i + 2] for i in range(max(1, len(word) - 1)))
+    return tuple(word[:n] for n in range(4, min(5, len(word)) + 1)) or (word,)
 
 
 def counts(text: str, known: dict[str, int], seen: dict[str, tuple[int, ...]]) -> Counter:
@@ -59,60 +63,145 @@ def counts(text: str, known: dict[str, int], seen: dict[str, tuple[int, ...]]) -
     return out
 
 
+def ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All whole numbers of the ranges, one after the other."""
+    n = end - start
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 @dataclass
 class Index:
-    """Unit vectors of the examples, by blocks; weights[f] lists a feature's postings in rising example order."""
+    """Unit vectors of the examples as postings, by feature, in each by block, in each by rising example."""
 
-    idf: np.ndarray
-    dense: list[np.ndarray]  # per block: features x examples, float64
-    top: np.ndarray  # features x blocks: the block maxima
+    idf: np.ndarray  # what a feature weighs
     ids: np.ndarray
     labels: np.ndarray
     weights: np.ndarray  # of each example, by class
+    first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # of each feature: its first list, one more at the end
+    block: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # of each list: its block
+    top: np.ndarray = field(default_factory=lambda: np.zeros(0))  # of each list: its largest weight
+    start: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # of each list: its first posting, one more at the end
+    example: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    head: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # features of the matrix
+    place: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # of each feature: its column, or -1
+    common: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # examples x head
     curve: tuple[np.ndarray, np.ndarray] = field(default=(np.array([0.0]), np.array([0.0])))
     bare: float = 0.0  # score without any shared feature
     opened: int = 0
 
+    def __getstate__(self) -> dict:
+        """The matrix travels without its zeros."""
+        at = np.nonzero(self.common)
+        return self.__dict__ | {"common": (self.common.shape, *(x.astype(np.int32) for x in at), self.common[at])}
+
+    def __setstate__(self, state: dict) -> None:
+        shape, i, j, w = state["common"]
+        self.__dict__ = state | {"common": np.zeros(shape)}
+        self.common[i, j] = w
+
+    @property
+    def blocks(self) -> int:
+        return max(1, -(-len(self.ids) // BLOCK))
+
+    @property
+    def dense(self) -> list[np.ndarray]:
+        """The same vectors by block as features x examples; for small indexes."""
+        m = np.zeros((len(self.idf), self.blocks * BLOCK))
+        m[np.repeat(np.repeat(np.arange(len(self.idf)), np.diff(self.first)), np.diff(self.start)), self.example] = self.weight
+        m[self.head, : len(self.ids)] = self.common.T
+        return [m[:, i : i + BLOCK] for i in range(0, m.shape[1], BLOCK)]
+
+    def post(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        f = np.concatenate([f for f, _ in vectors]) if vectors else np.zeros(0, np.int64)
+        ex = np.repeat(np.arange(len(vectors)), [len(f) for f, _ in vectors])
+        order = np.argsort(f, kind="stable")
+        f, ex = f[order], ex[order]
+        w = np.concatenate([w for _, w in vectors])[order] if vectors else np.zeros(0)
+        self.head = np.flatnonzero(np.bincount(f, minlength=len(self.idf)) * HEAD > len(vectors))
+        self.place = np.full(len(self.idf), -1)
+        self.place[self.head] = np.arange(len(self.head))
+        self.common = np.zeros((len(vectors), len(self.head)))
+        col = self.place[f]
+        self.common[ex[col >= 0], col[col >= 0]] = w[col >= 0]
+        f, self.example, self.weight = f[col < 0], ex[col < 0], w[col < 0]
+        b = self.example // BLOCK
+        head = np.flatnonzero(np.r_[True, (f[1:] != f[:-1]) | (b[1:] != b[:-1])]) if len(f) else np.zeros(0, np.int64)
+        self.start = np.append(head, len(f))
+        self.block, self.top = b[head], np.maximum.reduceat(self.weight, head) if len(f) else np.zeros(0)
+        self.first = np.searchsorted(f[head], np.arange(len(self.idf) + 1))
+
     def vector(self, tf: Counter) -> tuple[np.ndarray, np.ndarray]:
         f = np.array(sorted(tf), int)
-        w = (1 + np.log(np.array([tf[i] for i in f], float))) * self.idf[f] if len(f) else np.zeros(0)
+        return self.unit(f, np.array([tf[i] for i in f.tolist()], float))
+
+    def unit(self, f: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = n * self.idf[f]
         return f, w / np.linalg.norm(w) if len(f) else w
 
-    def nearest(self, f: np.ndarray, w: np.ndarray, k: int = K, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) above 0, best first, ties to the earlier example. Exact."""
-        bounds = w @ self.top[f]
+    def from_head(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the examples share with each vector in the matrix's features."""
+        q = np.zeros((len(vectors), len(self.head)))
+        for row, (f, w) in zip(q, vectors, strict=True):
+            col = self.place[f]
+            row[col[col >= 0]] = w[col >= 0]
+        return q @ self.common.T
+
+    def nearest(self, f: np.ndarray, w: np.ndarray, k: int = K, skip: int = -1, base: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, cosines) above 0, best first, ties to the earlier example. Exact. ``base``: the vector's row of from_head."""
+        if not len(self.ids):
+            return np.zeros(0, int), np.zeros(0)
+        if base is None:
+            base = self.from_head([(f, w)])[0]
+        lists = ranges(self.first[f], self.first[f + 1])
+        w = np.repeat(w, self.first[f + 1] - self.first[f])
+        blocks = self.block[lists]
+        bounds = np.bincount(blocks, w * self.top[lists], self.blocks) + np.maximum.reduceat(base, np.arange(0, len(base), BLOCK))
         order = np.argsort(-bounds, kind="stable")
-        got, sims, low = np.zeros(0, int), np.zeros(0), 0.0
-        for b in order:
-            if bounds[b] <= 0 or (len(got) >= k and bounds[b] < low - 1e-12):
+        order = order[bounds[order] > 0]
+        got, sims, low, wave = np.zeros(0, int), np.zeros(0), 0.0, WAVE
+        while len(order):
+            if len(got) >= k:
+                order = order[bounds[order] >= low - 1e-12]
+            now, order = order[:wave], order[wave:]
+            if not len(now):
                 break
-            self.opened += 1
-            s = w @ self.dense[b][f]
-            at = np.flatnonzero(s > 0) + b * BLOCK
-            s = s[s > 0]
+            self.opened += len(now)
+            wave *= 2
+            chosen = np.zeros(len(bounds), bool)
+            chosen[now] = True
+            mine = chosen[blocks]
+            a, b = self.start[lists[mine]], self.start[lists[mine] + 1]
+            at = ranges(a, b)
+            s = np.bincount(self.example[at], np.repeat(w[mine], b - a) * self.weight[at], len(self.ids)) + base
             if skip >= 0:
-                at, s = at[at != skip], s[at != skip]
-            got, sims = np.concatenate([got, at]), np.concatenate([sims, s])
+                s[skip] = 0
+            at = np.flatnonzero((s > 0) & (s >= low) & np.repeat(chosen, BLOCK)[: len(s)])
+            got, sims = np.concatenate([got, at]), np.concatenate([sims, s[at]])
+            best = np.lexsort((got, -sims))[:k]
+            got, sims = got[best], sims[best]
             if len(got) >= k:
-                best = np.lexsort((got, -sims))[:k]
-                got, sims = got[best], sims[best]
                 low = sims[-1]
-        best = np.lexsort((got, -sims))[:k]
-        return got[best], sims[best]
+        return got, sims
 
     def vote(self, got: np.ndarray, sims: np.ndarray) -> float:
         w = self.weights[got] / (1 - np.minimum(sims, 1) + NEAR)
         return float((w * self.labels[got]).sum() / w.sum())
 
+    def scores(self, texts: list[str | None], known: dict[str, int], seen: dict) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        for i in range(0, len(texts), TEXTS):
+            vectors = [self.vector(counts(t, known, seen)) if t else (np.zeros(0, int), np.zeros(0)) for t in texts[i : i + TEXTS]]
+            for (f, w), base in zip(vectors, self.from_head(vectors), strict=True):
+                got, sims = self.nearest(f, w, base=base) if len(f) else (np.zeros(0, int), np.zeros(0))
+                if len(got):
+                    v = self.vote(got, sims)
+                    s = 0.98 * float(np.interp(v, *self.curve)) + 0.02 * v * float(sims.mean())
+                    yield min(1.0, max(0.0, s)), got, sims
+                else:
+                    yield self.bare, got, sims
+
     def score(self, text: str | None, known: dict[str, int], seen: dict) -> tuple[float, np.ndarray, np.ndarray]:
-        f, w = self.vector(counts(text, known, seen)) if text else (np.zeros(0, int), np.zeros(0))
-        if len(f):
-            got, sims = self.nearest(f, w)
-            if len(got):
-                v = self.vote(got, sims)
-                s = 0.98 * float(np.interp(v, *self.curve)) + 0.02 * v * float(sims.mean())
-                return min(1.0, max(0.0, s)), got, sims
-        return self.bare, np.zeros(0, int), np.zeros(0)
+        return next(self.scores([text], known, seen))
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,53 +218,42 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return xs, np.array([v for p in pools for v in (p[0], p[0])])
 
 
-def build(idf: np.ndarray, rows: list[tuple[int, int, dict[int, int]]], totals: dict[int, int]) -> Index:
-    """The index over (doc_id, toxic, feature counts), and its calibration. Runs on the driver over the bounded sample."""
+def build(idf: np.ndarray, rows: list[tuple[int, int, dict[int, int] | tuple[np.ndarray, np.ndarray]]], totals: dict[int, int]) -> Index:
+    """The index over (doc_id, toxic, feature counts: a dict, or rising features and their counts), and its calibration.
+    Runs on the driver over the bounded sample."""
+    rows = [(d, y, (np.array(sorted(c), int), np.array([c[f] for f in sorted(c)], float)) if isinstance(c, dict) else c) for d, y, c in rows]
     n_by = Counter(y for _, y, _ in rows)
     cw = {c: totals.get(c, 0) / max(1, n_by[c]) for c in (0, 1)}
-    full = sorted((r for r in rows if r[2]), key=lambda r: (max(r[2], key=lambda f: (r[2][f] * idf[f], -f)), r[0]))
-    n, nf = len(full), len(idf)
-    m = np.zeros((nf, max(1, -(-n // BLOCK)) * BLOCK))
-    index = Index(idf, [], np.zeros((nf, 0)), np.array([r[0] for r in full], np.int64), np.array([r[1] for r in full], float), np.array([cw[r[1]] for r in full]))
-    vectors = [index.vector(Counter(r[2])) for r in full]
-    for i, (f, w) in enumerate(vectors):
-        m[f, i] = w
-    index.dense = [np.ascontiguousarray(m[:, i : i + BLOCK]) for i in range(0, m.shape[1], BLOCK)]
-    index.top = np.stack([d.max(1) for d in index.dense], 1)
-    bare = [r for r in rows if not r[2]]
+    full = sorted((r for r in rows if len(r[2][0])), key=lambda r: (r[2][0][np.argmax(r[2][1] * idf[r[2][0]])], r[0]))
+    index = Index(idf, np.array([r[0] for r in full], np.int64), np.array([r[1] for r in full], float), np.array([cw[r[1]] for r in full]))
+    vectors = [index.unit(*r[2]) for r in full]
+    index.post(vectors)
+    bare = [r for r in rows if not len(r[2][0])]
     weight = sum(cw[y] for _, y, _ in bare)
     index.bare = sum(cw[y] for _, y, _ in bare if y == 1) / weight if weight else 0.0
     votes = []
-    for i, (f, w) in enumerate(vectors):
-        got, sims = index.nearest(f, w, skip=i)
-        if len(got):
-            votes.append((index.vote(got, sims), full[i][1], cw[full[i][1]]))
+    for at in range(0, len(vectors), TEXTS):
+        for i, base in enumerate(index.from_head(vectors[at : at + TEXTS]), at):
+            got, sims = index.nearest(*vectors[i], skip=i, base=base)
+            if len(got):
+                votes.append((index.vote(got, sims), full[i][1], cw[full[i][1]]))
     if votes:
         v = np.array(votes)
         index.curve = isotonic(v[:, 0], v[:, 1], v[:, 2])
     return index
 
 
-def choose(sample: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
-    """Features tied to the toxic class in the sample (doc_id, toxic, text). Counts are summed on the cluster."""
+def vocabulary(sample: DataFrame) -> list[str]:
+    """All features of the sample (text), in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: tuple[Counter, Counter] = (Counter(), Counter())
+        found: set[str] = set()
         for b in slices(batches):
-            for toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found[toxic].update({s for w in set(WORD.findall((text or "").lower())) for s in stems(w)})
-        for toxic in (0, 1):
-            yield pa.RecordBatch.from_arrays([pa.array(list(found[toxic]), pa.string()), pa.array([n * (1 - toxic) for n in found[toxic].values()], pa.int64()), pa.array([n * toxic for n in found[toxic].values()], pa.int64())], ["stem", "clean", "toxic"])
-
-    sums = sample.select("toxic", "text").mapInArrow(run, "stem string, clean long, toxic long").groupBy("stem").agg(F.sum("clean").alias("b"), F.sum("toxic").alias("a"))
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    rate = (a + b) / F.lit(float(n_toxic + n_clean))
-    term = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
-    g = 2 * (term(a, rate * n_toxic) + term(b, rate * n_clean) + term(n_toxic - a, (1 - rate) * n_toxic) + term(n_clean - b, (1 - rate) * n_clean))
-    tied = sums.withColumn("g", g).filter((F.col("g") >= G_MIN) & (a >= LEAST_DOCS) & (a / n_toxic >= RATIO * ((b + 0.5) / n_clean)))
-    best = [r.stem for r in tied.orderBy(F.desc("g"), "stem").limit(8 * FEATURES).collect()]  # top-k is the selection itself
-    held = set(best)
-    return [s for s in best if not any(s[:n] in held for n in range(4, len(s)))][:FEATURES]
+            for text in b.column(0).to_pylist():
+                found.update(s for w in set(WORD.findall((text or "").lower())) for s in stems(w))
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], ["stem"])
+
+    return sorted(r.stem for r in sample.select("text").mapInArrow(run, "stem string").distinct().collect())  # bounded by the sample
 
 
 def document_frequencies(docs: DataFrame, known: dict[str, int]) -> tuple[int, dict[int, int]]:
@@ -204,7 +282,7 @@ def train(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, p
     have = docs.select("doc_id").distinct()
     per_doc = per_doc.join(have, "doc_id", "left_semi")
     totals = {r.toxic: r.n for r in per_doc.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    empty = Index(np.zeros(0), [], np.zeros((0, 0)), np.zeros(0, int), np.zeros(0), np.zeros(0))
+    empty = Index(np.zeros(0), np.zeros(0, int), np.zeros(0), np.zeros(0))
     if not totals.get(0) or not totals.get(1):
         empty.bare = float(bool(totals.get(1)))
         return empty, {}
@@ -213,22 +291,23 @@ def train(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, p
     spark = docs.sparkSession
     ids = spark.createDataFrame([tuple(r) for r in picked], "doc_id long, toxic int")
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "text")
-    n = Counter(r.toxic for r in picked)
-    known = {s: i for i, s in enumerate(choose(sample, n[1], n[0]))}
+    known = {s: i for i, s in enumerate(vocabulary(sample))}
     if not known:
         empty.bare = totals[1] / (totals[0] + totals[1])
         return empty, {}
     total, df = document_frequencies(corpus if corpus is not None else docs, known)
-    idf = np.array([math.log((1 + total) / (1 + df.get(i, 0))) + 1 for i in range(len(known))])
+    idf = np.array([math.log((1 + total) / (0.5 + df.get(i, 0))) ** 2 for i in range(len(known))])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict = {}
         for b in slices(batches):
-            tf = [counts(t, known, seen) if t else Counter() for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([list(c) for c in tf], pa.list_(pa.int32())), pa.array([list(c.values()) for c in tf], pa.list_(pa.int32()))], ["doc_id", "toxic", "f", "n"])
+            tf = [sorted(counts(t, known, seen).items()) if t else [] for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([[x[i] for x in c] for c in tf], pa.list_(pa.int32())) for i in (0, 1))], ["doc_id", "toxic", "f", "n"])
 
-    got = sample.mapInArrow(vectors, "doc_id long, toxic int, f array<int>, n array<int>").dropDuplicates(["doc_id"]).collect()  # the sample, as counts of known features
-    return build(idf, sorted(((r.doc_id, r.toxic, dict(zip(r.f, r.n, strict=True))) for r in got), key=lambda r: r[0]), totals), known
+    got = sample.mapInArrow(vectors, "doc_id long, toxic int, f array<int>, n array<int>").dropDuplicates(["doc_id"]).toArrow()  # the sample, as counts of features
+    lists = ([x.values.to_numpy(zero_copy_only=False) for x in got.column(c)] if len(got) else [] for c in ("f", "n"))
+    rows = sorted(zip(got.column("doc_id").to_pylist(), got.column("toxic").to_pylist(), zip(*lists, strict=True), strict=True), key=lambda r: r[0])
+    return build(idf, rows, totals), known
 
 
 def score(docs: DataFrame, index: Index, known: dict[str, int]) -> DataFrame:
@@ -239,8 +318,7 @@ def score(docs: DataFrame, index: Index, known: dict[str, int]) -> DataFrame:
         seen: dict = {}
         for b in slices(batches):
             rows = []
-            for text in b.column(1).to_pylist():
-                s, got, sims = index.score(text, known, seen)
+            for s, got, sims in index.scores(b.column(1).to_pylist(), known, seen):
                 rows.append((s, int(s >= 0.5), " ".join(f"{index.ids[i]}:{c:.4f}:{int(index.labels[i])}" for i, c in zip(got[:EVIDENCE], sims[:EVIDENCE], strict=True))))
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.float64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string())], ["doc_id", "score", "predicted", "evidence"])
@@ -254,7 +332,7 @@ def keep_clean(docs: DataFrame, index: Index, known: dict[str, int]) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict = {}
         for b in slices(batches):
-            ok = [index.score(t, known, seen)[0] < 0.5 for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+            ok = [s < 0.5 for s, _, _ in index.scores(b.column(b.schema.get_field_index("text")).to_pylist(), known, seen)]
             yield b.filter(pa.array(ok, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -69,3 +69,29 @@ def test_edges(spark):
     assert got[None].evidence and got[1].score == 0.1
     assert toxicity.keep_clean(docs, index, known).columns == docs.columns
     assert toxicity.score(docs.limit(0), index, known).count() == 0
+
+
+def test_every_word_of_the_examples_has_a_say(spark):
+    docs = spark.createDataFrame([(i, f"common words w{i % 5} " + ("sour lemon" if i % 3 == 0 else "sweet melon")) for i in range(1, 61)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 3 = 0 as int) toxic")
+    index, known = toxicity.train(docs, labels)  # 16 toxic examples at most: no gate may drop their words
+    assert set(known) == {"comm", "commo", "word", "words", "w0", "w1", "w2", "w3", "w4", "sour", "lemo", "lemon", "swee", "sweet", "melo", "melon"}
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs, index, known).collect()}
+    assert all(got[i] == (i % 3 == 0) for i in got)
+
+
+def test_head_and_postings_give_the_exact_nearest():
+    import pickle
+
+    r = np.random.default_rng(9)
+    p = np.r_[np.full(10, 0.4), np.full(90, 0.01)]
+    rows = [(i, i % 2, {int(f): int(r.integers(1, 5)) for f in np.flatnonzero(r.random(100) < p)}) for i in range(500)]
+    index = pickle.loads(pickle.dumps(toxicity.build(1 + r.random(100), rows, {0: 250, 1: 250})))
+    assert 0 < len(index.head) < 100 and len(index.example)
+    m = np.concatenate(index.dense, 1)[:, : len(index.ids)]
+    assert np.allclose((m**2).sum(0), 1)
+    vectors = [index.vector(Counter(row[2])) for row in rows if row[2]]
+    for (f, w), base in zip(vectors, index.from_head(vectors), strict=True):
+        exact = w @ m[f]
+        got, sims = index.nearest(f, w, 10, base=base)
+        assert np.allclose(np.sort(exact[exact > 0])[::-1][:10], sims) and np.allclose(exact[got], sims)
