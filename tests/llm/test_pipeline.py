@@ -40,12 +40,3 @@ def test_empty_table(spark, tmp_path):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert cp.run(spark, str(tmp_path)).count() == 0
     assert jaccard.keep_one(spark.read.parquet(str(tmp_path / "documents.parquet"))).count() == 0
-
-
-def test_near_copies_on_five_words(spark):
-    w = [f"w{i}" for i in range(100)]
-    near, far = list(w), list(w)
-    near[30] = near[70] = "x"
-    far[20] = far[50] = far[80] = "y"
-    docs = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(near)), (3, " ".join(far))], "doc_id long, text string")
-    assert sorted(r.doc_id for r in cp.near_copies(spark, docs, SF).collect()) == [1, 3]  # 86 of 106 shingles, 81 of 111
