@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,15 +19,21 @@ def read(spark: SparkSession, base: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. The cluster names it in spark.checkpoint.dir; a session without
-    it (a test on one machine) gets one of its own."""
+    """The folder that driver and executors share, as spark.checkpoint.dir or the session's checkpoint folder names it.
+
+    Without either, a session on one machine uses a folder of its own there; on a cluster that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
+    if base:
+        return base
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if not (own := getattr(spark.sparkContext, "_tablehaul_dir", None)):
         import tempfile
 
-        base = f"file://{tempfile.mkdtemp(prefix='tablehaul-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+        own = spark.sparkContext._tablehaul_dir = f"file://{tempfile.mkdtemp(prefix='tablehaul-')}"
+    return own
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -46,7 +53,30 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def discard(*stages: DataFrame) -> None:
+    """Deletes staged results that nothing will read again: whatever came of them is staged itself."""
+    for df in stages:
+        if path := getattr(df, "_staged", None):
+            jvm = df.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """``rows`` left-joined with ``table``, which has each key once. Rows of keys that hold more than one in ``share`` of
+    all rows stay where they are: there are at most ``share`` such keys, so what they need is broadcast."""
+    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n"))
+    total = rows.count()
+    hot = [r[0] for r in counts.filter(F.col("__n") * share > total).select(key).collect()]  # fewer than ``share``
+    if not hot:
+        return rows.join(table, key, "left")
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return rows.filter(~is_hot).join(table.filter(~is_hot), key, "left").unionByName(rows.filter(is_hot).join(F.broadcast(table.filter(is_hot)), key, "left"))
 
 
 def crc32_mod(c: Column, n: int) -> Column:
@@ -63,6 +93,24 @@ def slices(batches: Iterable, size: int = 8 << 20) -> Iterator:
             yield b.slice(i, step)
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for mapInArrow; when its task ends, the worker, which lives on, gives free memory back to the system."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        import ctypes
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # glibc alone has it
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once for a session, so that their Python finds it wherever it runs."""
     import tempfile
