@@ -8,17 +8,18 @@
 4. The examples' unit vectors form an inverted index: postings (example, weight) by feature and block of ``BLOCK``
    examples, each with its largest weight. Features that more than one in ``HEAD`` examples hold have no postings but a
    column of a matrix, which is multiplied by ``TEXTS`` documents at once. What a block's examples have from there, and
-   a document's vector times the maxima, bound what a block can offer, so blocks are opened from the highest bound
-   down, in waves, until the k-th best cosine beats the next bound: the exact k nearest.
+   a document's vector times the maxima, bound what a block can offer; the k-th best of what the matrix alone gives
+   bounds the k-th best cosine from below. Blocks that reach it are opened: the exact k nearest. Like examples share
+   blocks, which keeps the bounds of other blocks low.
 5. Neighbours vote with weight 1 / (distance + ``NEAR``), class sizes set right; votes pass an isotonic curve fitted on
-   leave-one-out votes of the examples. A document that shares no feature with any example gets the rate that
+   leave-one-out votes of the examples, interpolated between the middles of its steps. A document that shares no feature with any example gets the rate that
    holds for such examples. Evidence: the nearest examples and their cosines.
 
 The index has a fixed bound and travels to every task; no document is shuffled. Labels, lang, source and doc_id never
 enter a score; labels only say which examples vote how.
 
 Defined results: null and empty texts have no features; a doc_id labelled both ways counts as toxic; labels of null
-are ignored; without labels of both classes every score is the toxic share (0 without labels); repeated rows are
+are ignored; of rows with one doc_id the least text is the example; without labels of both classes every score is the toxic share (0 without labels); repeated rows are
 scored each; other columns are ignored; an empty table gives no rows.
 """
 
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -35,12 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, slices
+from .common import crc32_mod, lean, slices
 
 PER_CLASS = 4000
-K, NEAR, BLOCK, WAVE, EVIDENCE = 30, 0.05, 64, 4, 3
-HEAD, TEXTS = 12, 64
-WORD = re.compile(r"\w+")
+K, NEAR, BLOCK, EVIDENCE = 30, 0.05, 128, 3
+HEAD, TEXTS = 20, 64
+WORD = re.compile("([\u2e80-\U0010ffff]\\w*|\\w{1,5})\\w*")  # what stems() reads of a word
 
 
 def stems(word: str) -> tuple[str, ...]:
@@ -49,18 +51,29 @@ def stems(word: str) -> tuple[str, ...]:
     return tuple(word[:n] for n in range(4, min(5, len(word)) + 1)) or (word,)
 
 
-def counts(text: str, known: dict[str, int], seen: dict[str, tuple[int, ...]]) -> Counter:
-    """Times that each known feature occurs. ``seen`` keeps what words gave, and is emptied when it is large."""
-    if len(seen) > 300_000:
-        seen.clear()
-    out: Counter = Counter()
-    for w, n in Counter(WORD.findall(text.lower())).items():
-        hit = seen.get(w)
-        if hit is None:
-            hit = seen[w] = tuple(known[s] for s in stems(w) if s in known)
-        for f in hit:
-            out[f] += n
-    return out
+class Words(dict):
+    """word -> its number; known features of word w are ``features[first[w] : first[w + 1]]``."""
+
+    def __init__(self, known: dict[str, int]):
+        super().__init__()
+        self.known, self.features, self.first = known, array("q"), array("q", [0])
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.features.extend(self.known[s] for s in stems(word) if s in self.known)
+        self.first.append(len(self.features))
+        return n
+
+
+def counts(texts: list[str | None], known: dict[str, int], seen: dict) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each text its known features, rising, and how often each occurs. ``seen`` keeps what words gave, and begins
+    anew when it is large."""
+    words = seen.get("words")
+    if words is None or len(words) > 300_000:
+        words = seen["words"] = Words(known)
+    ids = [np.fromiter(map(words.__getitem__, WORD.findall(t.lower())), np.int64) if t else np.zeros(0, np.int64) for t in texts]
+    first, features = np.array(words.first), np.array(words.features, np.int64)
+    return [np.unique(features[ranges(first[i], first[i + 1])], return_counts=True) for i in ids]
 
 
 def ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -151,38 +164,25 @@ class Index:
         """(examples, cosines) above 0, best first, ties to the earlier example. Exact. ``base``: the vector's row of from_head."""
         if not len(self.ids):
             return np.zeros(0, int), np.zeros(0)
-        if base is None:
-            base = self.from_head([(f, w)])[0]
+        base = self.from_head([(f, w)])[0] if base is None else base.copy()
         lists = ranges(self.first[f], self.first[f + 1])
         w = np.repeat(w, self.first[f + 1] - self.first[f])
         blocks = self.block[lists]
         bounds = np.bincount(blocks, w * self.top[lists], self.blocks) + np.maximum.reduceat(base, np.arange(0, len(base), BLOCK))
-        order = np.argsort(-bounds, kind="stable")
-        order = order[bounds[order] > 0]
-        got, sims, low, wave = np.zeros(0, int), np.zeros(0), 0.0, WAVE
-        while len(order):
-            if len(got) >= k:
-                order = order[bounds[order] >= low - 1e-12]
-            now, order = order[:wave], order[wave:]
-            if not len(now):
-                break
-            self.opened += len(now)
-            wave *= 2
-            chosen = np.zeros(len(bounds), bool)
-            chosen[now] = True
-            mine = chosen[blocks]
-            a, b = self.start[lists[mine]], self.start[lists[mine] + 1]
-            at = ranges(a, b)
-            s = np.bincount(self.example[at], np.repeat(w[mine], b - a) * self.weight[at], len(self.ids)) + base
-            if skip >= 0:
-                s[skip] = 0
-            at = np.flatnonzero((s > 0) & (s >= low) & np.repeat(chosen, BLOCK)[: len(s)])
-            got, sims = np.concatenate([got, at]), np.concatenate([sims, s[at]])
-            best = np.lexsort((got, -sims))[:k]
-            got, sims = got[best], sims[best]
-            if len(got) >= k:
-                low = sims[-1]
-        return got, sims
+        if skip >= 0:
+            base[skip] = 0
+        low = np.partition(base, -k)[-k] if len(base) >= k else 0.0  # the k-th best cosine is this at least
+        chosen = (bounds > 0) & (bounds >= low - 1e-12)
+        self.opened += int(chosen.sum())
+        mine = np.flatnonzero(chosen[blocks])
+        a, b = self.start[lists[mine]], self.start[lists[mine] + 1]
+        at = ranges(a, b)
+        s = np.bincount(self.example[at], np.repeat(w[mine], b - a) * self.weight[at], len(self.ids)) + base
+        if skip >= 0:
+            s[skip] = 0
+        got = np.flatnonzero((s > 0) & (s >= low - 1e-12))
+        got = got[np.lexsort((got, -s[got]))[:k]]
+        return got, s[got]
 
     def vote(self, got: np.ndarray, sims: np.ndarray) -> float:
         w = self.weights[got] / (1 - np.minimum(sims, 1) + NEAR)
@@ -190,13 +190,11 @@ class Index:
 
     def scores(self, texts: list[str | None], known: dict[str, int], seen: dict) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
         for i in range(0, len(texts), TEXTS):
-            vectors = [self.vector(counts(t, known, seen)) if t else (np.zeros(0, int), np.zeros(0)) for t in texts[i : i + TEXTS]]
+            vectors = [self.unit(f, n.astype(float)) for f, n in counts(texts[i : i + TEXTS], known, seen)]
             for (f, w), base in zip(vectors, self.from_head(vectors), strict=True):
                 got, sims = self.nearest(f, w, base=base) if len(f) else (np.zeros(0, int), np.zeros(0))
                 if len(got):
-                    v = self.vote(got, sims)
-                    s = 0.98 * float(np.interp(v, *self.curve)) + 0.02 * v * float(sims.mean())
-                    yield min(1.0, max(0.0, s)), got, sims
+                    yield float(np.interp(self.vote(got, sims), *self.curve)), got, sims
                 else:
                     yield self.bare, got, sims
 
@@ -205,17 +203,31 @@ class Index:
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The rising step curve nearest to y in weighted squares, as points for linear interpolation."""
+    """The rising step curve nearest to y in weighted squares, as the middles of its steps for linear interpolation."""
     order = np.argsort(x, kind="stable")
-    pools: list[list[float]] = []  # value, weight, first x, last x
+    pools: list[list[float]] = []  # value, weight, first x, last x, middle
     for i in order:
-        pools.append([y[i], w[i], x[i], x[i]])
+        pools.append([y[i], w[i], x[i], x[i], x[i]])
         while len(pools) > 1 and (pools[-2][0] >= pools[-1][0] or pools[-2][3] == pools[-1][2]):
-            v, n, _, last = pools.pop()
+            v, n, _, last, middle = pools.pop()
             p = pools[-1]
+            p[4] = (p[4] * p[1] + middle * n) / (p[1] + n)
             p[0], p[1], p[3] = (p[0] * p[1] + v * n) / (p[1] + n), p[1] + n, last
-    xs = np.array([x for p in pools for x in (p[2], p[3])])
-    return xs, np.array([v for p in pools for v in (p[0], p[0])])
+    return np.array([p[4] for p in pools]), np.array([p[0] for p in pools])
+
+
+def alike(m: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rows ``at`` of ``m`` in an order that puts like ones into one block: halved along the main direction, again and again."""
+    if len(at) <= BLOCK or not m.shape[1]:
+        return at
+    x = m[at] - m[at].mean(0)
+    v = np.ones(m.shape[1]) + np.arange(m.shape[1]) / m.shape[1]
+    for _ in range(8):
+        v = x.T @ (x @ v)
+        v /= np.linalg.norm(v) or 1
+    at = at[np.argsort(x @ v, kind="stable")]
+    half = -(-len(at) // (2 * BLOCK)) * BLOCK
+    return np.concatenate([alike(m, at[:half]), alike(m, at[half:])])
 
 
 def build(idf: np.ndarray, rows: list[tuple[int, int, dict[int, int] | tuple[np.ndarray, np.ndarray]]], totals: dict[int, int]) -> Index:
@@ -225,9 +237,12 @@ def build(idf: np.ndarray, rows: list[tuple[int, int, dict[int, int] | tuple[np.
     n_by = Counter(y for _, y, _ in rows)
     cw = {c: totals.get(c, 0) / max(1, n_by[c]) for c in (0, 1)}
     full = sorted((r for r in rows if len(r[2][0])), key=lambda r: (r[2][0][np.argmax(r[2][1] * idf[r[2][0]])], r[0]))
-    index = Index(idf, np.array([r[0] for r in full], np.int64), np.array([r[1] for r in full], float), np.array([cw[r[1]] for r in full]))
-    vectors = [index.unit(*r[2]) for r in full]
-    index.post(vectors)
+    for arranged in (False, True):  # the matrix of the first pass says which examples are alike
+        index = Index(idf, np.array([r[0] for r in full], np.int64), np.array([r[1] for r in full], float), np.array([cw[r[1]] for r in full]))
+        vectors = [index.unit(*r[2]) for r in full]
+        index.post(vectors)
+        if not arranged:
+            full = [full[i] for i in alike(index.common, np.arange(len(full)))]
     bare = [r for r in rows if not len(r[2][0])]
     weight = sum(cw[y] for _, y, _ in bare)
     index.bare = sum(cw[y] for _, y, _ in bare if y == 1) / weight if weight else 0.0
@@ -253,22 +268,24 @@ def vocabulary(sample: DataFrame) -> list[str]:
                 found.update(s for w in set(WORD.findall((text or "").lower())) for s in stems(w))
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], ["stem"])
 
-    return sorted(r.stem for r in sample.select("text").mapInArrow(run, "stem string").distinct().collect())  # bounded by the sample
+    return sorted(r.stem for r in sample.select("text").mapInArrow(lean(run), "stem string").distinct().collect())  # bounded by the sample
 
 
 def document_frequencies(docs: DataFrame, known: dict[str, int]) -> tuple[int, dict[int, int]]:
     """(documents, documents with each feature), over all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, seen = Counter(), {}
+        df, total, seen = np.zeros(len(known), np.int64), 0, {}
         for b in slices(batches):
-            df[-1] += b.num_rows
-            for text in b.column(0).to_pylist():
-                if text:
-                    df.update(counts(text, known, seen).keys())
-        yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.int64()), pa.array(list(df.values()), pa.int64())], ["f", "n"])
-
-    got = {r.f: r.n for r in docs.select("text").mapInArrow(run, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()}  # a row for each feature
+            total += b.num_rows
+            texts = b.column(0).to_pylist()
+            for i in range(0, len(texts), TEXTS):
+                for f, _ in counts(texts[i : i + TEXTS], known, seen):
+                    df[f] += 1
+        f = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(f, -1)), pa.array(np.append(df[f], total))], ["f", "n"])
+
+    got = {r.f: r.n for r in docs.select("text").mapInArrow(lean(run), "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()}  # a row for each feature
     return got.pop(-1, 0), got
 
 
@@ -290,7 +307,7 @@ def train(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, p
     picked = part(0).unionByName(part(1)).collect()  # 2 * per_class rows
     spark = docs.sparkSession
     ids = spark.createDataFrame([tuple(r) for r in picked], "doc_id long, toxic int")
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "text")
+    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     known = {s: i for i, s in enumerate(vocabulary(sample))}
     if not known:
         empty.bare = totals[1] / (totals[0] + totals[1])
@@ -301,10 +318,10 @@ def train(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, p
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict = {}
         for b in slices(batches):
-            tf = [sorted(counts(t, known, seen).items()) if t else [] for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([[x[i] for x in c] for c in tf], pa.list_(pa.int32())) for i in (0, 1))], ["doc_id", "toxic", "f", "n"])
+            tf = counts(b.column(2).to_pylist(), known, seen)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([c[i] for c in tf], pa.list_(pa.int32())) for i in (0, 1))], ["doc_id", "toxic", "f", "n"])
 
-    got = sample.mapInArrow(vectors, "doc_id long, toxic int, f array<int>, n array<int>").dropDuplicates(["doc_id"]).toArrow()  # the sample, as counts of features
+    got = sample.mapInArrow(lean(vectors), "doc_id long, toxic int, f array<int>, n array<int>").toArrow()  # the sample, as counts of features
     lists = ([x.values.to_numpy(zero_copy_only=False) for x in got.column(c)] if len(got) else [] for c in ("f", "n"))
     rows = sorted(zip(got.column("doc_id").to_pylist(), got.column("toxic").to_pylist(), zip(*lists, strict=True), strict=True), key=lambda r: r[0])
     return build(idf, rows, totals), known
@@ -323,7 +340,7 @@ def score(docs: DataFrame, index: Index, known: dict[str, int]) -> DataFrame:
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.float64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string())], ["doc_id", "score", "predicted", "evidence"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), schema)
 
 
 def keep_clean(docs: DataFrame, index: Index, known: dict[str, int]) -> DataFrame:
@@ -335,4 +352,4 @@ def keep_clean(docs: DataFrame, index: Index, known: dict[str, int]) -> DataFram
             ok = [s < 0.5 for s, _, _ in index.scores(b.column(b.schema.get_field_index("text")).to_pylist(), known, seen)]
             yield b.filter(pa.array(ok, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
