@@ -57,6 +57,16 @@ def prefix(raw: np.ndarray, table: np.ndarray) -> np.ndarray:
     return out
 
 
+def places(i: np.ndarray) -> np.ndarray:
+    """A random odd factor for each place in a word, so that no pattern of letters cancels out as it can with powers."""
+    if "place" not in _powers:
+        _powers["place"] = mix(np.arange(1, 257, dtype=np.uint64) * K2) | np.uint64(1)
+    near = _powers["place"]
+    if not len(i) or i.max() < len(near):
+        return near[i]
+    return mix((i + 1).astype(np.uint64) * K2) | np.uint64(1)
+
+
 def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, index of each document's first word, one more at the end). A-Z count as a-z."""
     n = len(raw)
@@ -72,9 +82,13 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     ends_at = offsets[1:][np.diff(offsets) > 0] - 1
     last[ends_at] = solid[ends_at]
     a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
-    sums, inverse = prefix(raw, FOLDED), powers(n)[1]
-    h = mix((sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64) * K1)
-    return h, np.searchsorted(a, offsets)
+    if not len(a):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    size = b - a
+    letters = FOLDED[raw[solid]]  # of all words, one after the other
+    starts = np.cumsum(size) - size
+    letters *= places(np.arange(len(letters)) - np.repeat(starts, size))
+    return mix(np.add.reduceat(letters, starts) + size.astype(np.uint64) * K1), np.searchsorted(a, offsets)
 
 
 def shingle_sets(col: pa.Array, size: int = 4) -> list[np.ndarray]:
