@@ -7,7 +7,8 @@
    of its IDF, which says more than plain IDF in texts full of function words.
 4. The examples' unit vectors form an inverted index: postings (example, weight) by feature and block of ``BLOCK``
    examples, each with its largest weight. Features that more than one in ``HEAD`` examples hold have no postings but a
-   column of a matrix, which is multiplied by ``TEXTS`` documents at once. What a block's examples have from there, and
+   column of a matrix, which is multiplied by ``TEXTS`` documents at once, in single precision; whatever may be
+   among the nearest by that is computed again in double. What a block's examples have from there, and
    a document's vector times the maxima, bound what a block can offer; the k-th best of what the matrix alone gives
    bounds the k-th best cosine from below. Blocks that reach it are opened: the exact k nearest. Like examples share
    blocks, which keeps the bounds of other blocks low.
@@ -19,8 +20,8 @@ The index has a fixed bound and travels to every task; no document is shuffled.
 enter a score; labels only say which examples vote how.
 
 Defined results: null and empty texts have no features; a doc_id labelled both ways counts as toxic; labels of null
-are ignored; of rows with one doc_id the least text is the example; without labels of both classes every score is the toxic share (0 without labels); repeated rows are
-scored each; other columns are ignored; an empty table gives no rows.
+are ignored; of rows with one doc_id the least text is the example; without labels of both classes every score is the
+toxic share (0 without labels); repeated rows are scored each; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ from .common import crc32_mod, lean, slices
 
 PER_CLASS = 4000
 K, NEAR, BLOCK, EVIDENCE = 30, 0.05, 128, 3
-HEAD, TEXTS = 20, 64
+HEAD, TEXTS = 25, 64
 WORD = re.compile("([\u2e80-\U0010ffff]\\w*|\\w{1,5})\\w*")  # what stems() reads of a word
 
 
@@ -98,7 +99,7 @@ class Index:
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
     head: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # features of the matrix
     place: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # of each feature: its column, or -1
-    common: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # examples x head
+    common: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))  # examples x head
     curve: tuple[np.ndarray, np.ndarray] = field(default=(np.array([0.0]), np.array([0.0])))
     bare: float = 0.0  # score without any shared feature
     opened: int = 0
@@ -110,7 +111,7 @@ class Index:
 
     def __setstate__(self, state: dict) -> None:
         shape, i, j, w = state["common"]
-        self.__dict__ = state | {"common": np.zeros(shape)}
+        self.__dict__ = state | {"common": np.zeros(shape, np.float32)}
         self.common[i, j] = w
 
     @property
@@ -134,7 +135,7 @@ class Index:
         self.head = np.flatnonzero(np.bincount(f, minlength=len(self.idf)) * HEAD > len(vectors))
         self.place = np.full(len(self.idf), -1)
         self.place[self.head] = np.arange(len(self.head))
-        self.common = np.zeros((len(vectors), len(self.head)))
+        self.common = np.zeros((len(vectors), len(self.head)), np.float32)
         col = self.place[f]
         self.common[ex[col >= 0], col[col >= 0]] = w[col >= 0]
         f, self.example, self.weight = f[col < 0], ex[col < 0], w[col < 0]
@@ -152,37 +153,44 @@ class Index:
         w = n * self.idf[f]
         return f, w / np.linalg.norm(w) if len(f) else w
 
+    def dense_head(self, f: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """A vector's weights in the matrix's features."""
+        q, col = np.zeros(len(self.head)), self.place[f]
+        q[col[col >= 0]] = w[col >= 0]
+        return q
+
     def from_head(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """What the examples share with each vector in the matrix's features."""
-        q = np.zeros((len(vectors), len(self.head)))
-        for row, (f, w) in zip(q, vectors, strict=True):
-            col = self.place[f]
-            row[col[col >= 0]] = w[col >= 0]
-        return q @ self.common.T
+        """What the examples share with each vector in the matrix's features, in single precision."""
+        return np.array([self.dense_head(f, w) for f, w in vectors], np.float32).reshape(len(vectors), -1) @ self.common.T
 
     def nearest(self, f: np.ndarray, w: np.ndarray, k: int = K, skip: int = -1, base: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) above 0, best first, ties to the earlier example. Exact. ``base``: the vector's row of from_head."""
         if not len(self.ids):
             return np.zeros(0, int), np.zeros(0)
-        base = self.from_head([(f, w)])[0] if base is None else base.copy()
-        lists = ranges(self.first[f], self.first[f + 1])
-        w = np.repeat(w, self.first[f + 1] - self.first[f])
-        blocks = self.block[lists]
-        bounds = np.bincount(blocks, w * self.top[lists], self.blocks) + np.maximum.reduceat(base, np.arange(0, len(base), BLOCK))
+        base = (self.from_head([(f, w)])[0] if base is None else base).astype(float)
         if skip >= 0:
             base[skip] = 0
+        lists = ranges(self.first[f], self.first[f + 1])
+        each = np.repeat(w, self.first[f + 1] - self.first[f])
+        blocks = self.block[lists]
+        bounds = np.bincount(blocks, each * self.top[lists], self.blocks) + np.maximum.reduceat(base, np.arange(0, len(base), BLOCK))
+        off = (2 + len(self.head)) * 2.0**-23  # more than single precision can be off by, for unit vectors
         low = np.partition(base, -k)[-k] if len(base) >= k else 0.0  # the k-th best cosine is this at least
-        chosen = (bounds > 0) & (bounds >= low - 1e-12)
+        chosen = bounds >= low - 2 * off
         self.opened += int(chosen.sum())
         mine = np.flatnonzero(chosen[blocks])
         a, b = self.start[lists[mine]], self.start[lists[mine] + 1]
         at = ranges(a, b)
-        s = np.bincount(self.example[at], np.repeat(w[mine], b - a) * self.weight[at], len(self.ids)) + base
+        tail = np.bincount(self.example[at], np.repeat(each[mine], b - a) * self.weight[at], len(self.ids))
+        s = tail + base
+        low = np.partition(s, -k)[-k] if len(s) >= k else 0.0
+        got = np.flatnonzero((s > 0) & (s >= low - 2 * off))
         if skip >= 0:
-            s[skip] = 0
-        got = np.flatnonzero((s > 0) & (s >= low - 1e-12))
-        got = got[np.lexsort((got, -s[got]))[:k]]
-        return got, s[got]
+            got = got[got != skip]
+        sims = tail[got] + self.common[got].astype(float) @ self.dense_head(f, w)
+        best = np.lexsort((got, -sims))[:k]
+        best = best[sims[best] > 0]
+        return got[best], sims[best]
 
     def vote(self, got: np.ndarray, sims: np.ndarray) -> float:
         w = self.weights[got] / (1 - np.minimum(sims, 1) + NEAR)
@@ -221,7 +229,7 @@ def alike(m: np.ndarray, at: np.ndarray) -> np.ndarray:
     if len(at) <= BLOCK or not m.shape[1]:
         return at
     x = m[at] - m[at].mean(0)
-    v = np.ones(m.shape[1]) + np.arange(m.shape[1]) / m.shape[1]
+    v = 1 + np.arange(m.shape[1], dtype=m.dtype) / m.shape[1]
     for _ in range(8):
         v = x.T @ (x @ v)
         v /= np.linalg.norm(v) or 1
@@ -268,7 +276,7 @@ def vocabulary(sample: DataFrame) -> list[str]:
                 found.update(s for w in set(WORD.findall((text or "").lower())) for s in stems(w))
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], ["stem"])
 
-    return sorted(r.stem for r in sample.select("text").mapInArrow(lean(run), "stem string").distinct().collect())  # bounded by the sample
+    return sorted(sample.select("text").mapInArrow(lean(run), "stem string").distinct().toArrow().column(0).to_pylist())  # bounded by the sample
 
 
 def document_frequencies(docs: DataFrame, known: dict[str, int]) -> tuple[int, dict[int, int]]:
@@ -285,7 +293,8 @@ def document_frequencies(docs: DataFrame, known: dict[str, int]) -> tuple[int, d
         f = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(f, -1)), pa.array(np.append(df[f], total))], ["f", "n"])
 
-    got = {r.f: r.n for r in docs.select("text").mapInArrow(lean(run), "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()}  # a row for each feature
+    got = docs.select("text").mapInArrow(lean(run), "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).toArrow()  # a row for each feature
+    got = dict(zip(got.column("f").to_pylist(), got.column("n").to_pylist(), strict=True))
     return got.pop(-1, 0), got
 
 
