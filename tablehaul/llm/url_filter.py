@@ -5,8 +5,8 @@ the rarest of its literal tokens (host labels, path segments), rarest in the url
 the few rules filed under them, and only those expressions run. Everything is DataFrame functions.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and fits no rule. Of the rules that
-fit, the longest host + path wins; between equal texts a block wins. Repeated rows are judged alone, extra columns
-stay out of the way, an empty table gives no rows.
+fit, the longest host + path wins; between equal texts a block wins. Repeated rows are judged alone; of extra columns
+those named host, path, rule or verdict are replaced, others stay; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TOKEN = "[./]"
-RULE_TYPE = "array<struct<token:string,rule:string,pattern:string,verdict:string,size:int>>"
+RULE_TYPE = "array<struct<token:string,rule:string,on_host:string,on_path:string,verdict:string,size:int>>"
 
 
 @dataclass(frozen=True)
@@ -34,15 +34,18 @@ class Rule:
         return self.host + self.path
 
     @property
-    def pattern(self) -> str:
-        """Over ``host`` + newline + ``path``: the host or a subdomain of it, then the start of the path."""
-        return rf"\A(?:[^\n]*\.)?{re.escape(self.host)}\n{re.escape(self.path)}"
+    def on_host(self) -> str:
+        """The host or a subdomain of it."""
+        return rf"(?s)\A(?:.*\.)?{re.escape(self.host)}\z"
+
+    @property
+    def on_path(self) -> str:
+        return rf"\A{re.escape(self.path)}"
 
     @property
     def tokens(self) -> list[str]:
-        """Literals that any fitting url has too. A path's last segment may be cut short, unless a slash ends it."""
-        segments = self.path.split("/")[:-1]
-        return sorted({*self.host.split("."), *segments} - {""})
+        """Literals that any fitting url has too, cut as urls are. The path's last one may go on in the url."""
+        return sorted({*re.split(TOKEN, self.host), *re.split(TOKEN, self.path)[:-1]} - {""})
 
 
 #: Fixed values of the query.
@@ -80,7 +83,7 @@ def index_rows(rules: list[Rule], counts: dict[str, int]) -> list[dict]:
         if not r.tokens:
             raise ValueError(f"rule {r.text!r} has no literal token")
         token = min(r.tokens, key=lambda t: (counts.get(t, 0), t))
-        out.append({"token": token, "rule": r.text, "pattern": r.pattern, "verdict": r.verdict, "size": len(r.text)})
+        out.append({"token": token, "rule": r.text, "on_host": r.on_host, "on_path": r.on_path, "verdict": r.verdict, "size": len(r.text)})
     return out
 
 
@@ -97,7 +100,7 @@ def judge(pages: DataFrame, rules: list[Rule] = RULES, url: str = "url", default
     """
     urls = split_urls(pages, url)
     rows = index_rows(rules, token_counts(urls, rules)) if rules else []
-    text = F.concat_ws("\n", "host", "path")
+    fits = lambda r: F.rlike("host", r["on_host"]) & F.rlike("path", r["on_path"])
     if len(rows) <= inline:
         lists: dict[str, list[dict]] = {}
         for r in rows:
@@ -107,13 +110,13 @@ def judge(pages: DataFrame, rules: list[Rule] = RULES, url: str = "url", default
         index = F.from_json(F.lit(json.dumps(lists)), f"map<string,{RULE_TYPE}>")
         mine = F.array_intersect(tokens_of(F.col("host"), F.col("path")), F.map_keys(index))
         fetched = F.flatten(F.transform(mine, lambda t: F.element_at(index, t)))
-        best = _best(F.filter(fetched, lambda r: F.rlike(text, r["pattern"])))
+        best = _best(F.filter(fetched, fits))
         out = urls.withColumn("__best", best)
     else:
         spark = pages.sparkSession
         table = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), RULE_TYPE)).alias("r")).select("r.*")
         distinct = urls.select("host", "path").distinct()
-        fetched = distinct.withColumn("token", F.explode(tokens_of(F.col("host"), F.col("path")))).join(table, "token").filter(F.rlike(text, F.col("pattern")))
+        fetched = distinct.withColumn("token", F.explode(tokens_of(F.col("host"), F.col("path")))).join(table, "token").filter(fits({c: F.col(c) for c in ("on_host", "on_path")}))
         best = fetched.groupBy("host", "path").agg(F.max(F.struct("size", "verdict", "rule")).alias("__best"))
         out = urls.join(best, ["host", "path"], "left")
     return out.withColumns({"rule": F.col("__best.rule"), "verdict": F.coalesce(F.col("__best.verdict"), F.lit(default))}).drop("__best")
