@@ -13,7 +13,7 @@ moves. Queries against all rows is the search asked for; its work is queries tim
 
 Defined results: vectors that are null, empty, zero, hold a null or non-finite component, or differ in length from
 most take no part, nor do rows without an id; of rows with one id the least vector counts; equal scores go to the
-smaller id; with fewer candidates than asked, all are returned; an empty table gives no rows.
+smaller id, before reranking too (equal vectors have equal codes); with fewer candidates than asked, all are returned; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -126,6 +126,13 @@ def look_up(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return out
 
 
+def first_best(s: np.ndarray, n: int) -> np.ndarray:
+    """Places of the ``n`` largest; of equal ones at the edge the first."""
+    edge = np.partition(s, len(s) - n)[len(s) - n]
+    above = np.flatnonzero(s > edge)
+    return np.concatenate([above, np.flatnonzero(s == edge)[: n - len(above)]])
+
+
 def search(embeddings: DataFrame, every: int = EVERY, top: int = TOP, rerank: int = RERANK, m: int = M, k: int = CODES, sample: int = SAMPLE, query_block: int = QUERY_BLOCK, code_block: int = CODE_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id ``every`` divides, its ``top`` nearest other rows by inner product."""
     spark = embeddings.sparkSession
@@ -157,14 +164,15 @@ def search(embeddings: DataFrame, every: int = EVERY, top: int = TOP, rerank: in
                 qid = q.field("vec_id").to_numpy()
                 qv = np.asarray(q.field("embedding").flatten().to_numpy(), np.float32).reshape(len(qid), dim)
                 cid = c.field("vec_id").to_numpy()
-                code = np.frombuffer(b"".join(c.field("codes").to_pylist()), width).reshape(len(cid), -1).astype(np.intp)
-                scale = c.field("scale").to_numpy().astype(np.float32)
+                order = np.argsort(cid)
+                code = np.frombuffer(b"".join(c.field("codes").to_pylist()), width).reshape(len(cid), -1).astype(np.intp)[order]
+                scale, cid = c.field("scale").to_numpy().astype(np.float32)[order], cid[order]
                 tables = np.einsum("qd,mkd->qmk", qv, books, optimize=True)
                 for at in range(0, len(qid), 32):
                     s = look_up(tables[at : at + 32], code) * scale
                     s[qid[at : at + 32, None] == cid[None, :]] = -np.inf
                     n = min(rerank, len(cid))
-                    best = np.argpartition(-s, n - 1, axis=1)[:, :n] if n < len(cid) else np.tile(np.arange(n), (len(s), 1))
+                    best = np.stack([first_best(row, n) for row in s])
                     approx = np.take_along_axis(s, best, 1)
                     keep = np.isfinite(approx)
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid[at : at + 32], keep.sum(1))), pa.array(cid[best][keep]), pa.array(approx[keep].astype(float))], ["query_id", "vec_id", "approx"])

@@ -60,3 +60,22 @@ def test_edges(spark):
     assert got == [(0, 1, 7, 5.0), (0, 2, 20, 5.0), (0, 3, 9, -1.0), (20, 1, 0, 5.0), (20, 2, 7, 5.0), (20, 3, 9, -1.0)]
     assert ann.search(df.limit(0)).count() == 0
     assert ann.search(df.filter("vec_id = 0")).count() == 0
+
+
+def test_many_equal_vectors_go_by_id(spark):
+    df = spark.createDataFrame([(i, [1.0, 2.0, 3.0, 4.0]) for i in range(1000)], "vec_id long, embedding array<float>").repartition(5)
+    got = ann.search(df).filter("query_id = 500").orderBy("rank").collect()
+    assert [r.vec_id for r in got] == list(range(20)) and {r.score for r in got} == {30.0}
+
+
+def test_recall_on_rows_outside_the_sample(spark):
+    r = np.random.default_rng(11)
+    x = r.normal(size=(5 * ann.SAMPLE, 32)).astype(np.float32)
+    df = spark.createDataFrame(__import__("pandas").DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}), "vec_id long, embedding array<float>")
+    got = ann.search(df, every=400).toPandas()
+    q = np.arange(0, len(x), 400)
+    s = x[q].astype(float) @ x.T.astype(float)
+    s[np.arange(len(q)), q] = -np.inf
+    want = np.argpartition(-s, 19, axis=1)[:, :20]
+    hits = sum(len(set(g.vec_id) & set(want[k // 400].tolist())) for k, g in got.groupby("query_id"))
+    assert hits / want.size >= 0.95
