@@ -6,10 +6,13 @@ many more slots than shards the heaviest slots are dealt first and light ones ev
 equal in bytes (law ``bytes``). Everything on the data's path is DataFrame functions: one aggregate by slot, and one
 window inside each slot for the rows' places.
 
-Equal texts are not kept together: a text that a third of the rows share would fill a shard alone.
+Equal texts are not kept together: a text that a third of the rows share would fill a shard alone. Repeated rows (equal
+doc_id and text) have one hash, so a slot that would hold more than 1 / ``HEAVY`` of a shard, of which there are fewer than
+``HEAVY`` times the shards, is split into ``PARTS`` by the rows' numbers in the staged records.
 
 Defined results: a null text has no bytes and a crc32 of 0 (like an empty one); a null doc_id is a value like others;
-repeated rows each count; the row order inside a slot is by doc_id, then text; an empty table gives no rows.
+repeated rows each count and are spread over shards like others; other columns are ignored; very long texts are sized
+in the scan and go no further; the row order inside a slot is by doc_id, then text; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +24,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SLOTS = 4096
+from .common import staged
+
+SLOTS, HEAVY, PARTS = 4096, 8, 64
 
 
 @dataclass(frozen=True)
@@ -131,8 +136,15 @@ def assign(records: DataFrame, m: SlotMap) -> DataFrame:
 
 def shard(docs: DataFrame, shards: int = 16, slots: int = SLOTS, map_dir: str | None = None) -> DataFrame:
     """The whole way: slots, bytes, a map (kept as version 1 under ``map_dir``), places."""
-    records = with_slots(docs, slots)
-    m = balanced(slot_bytes(records, slots), shards)
+    records = staged(with_slots(docs, slots).withColumn("row", F.monotonically_increasing_id()), "shard-records")  # numbers stay as written
+    weights = slot_bytes(records, slots)
+    heavy = [i for i, b in enumerate(weights) if b * HEAVY * shards > sum(weights)]
+    if heavy:
+        places = F.from_json(F.lit(json.dumps({str(v): slots + i * PARTS for i, v in enumerate(heavy)})), "map<string,int>")
+        part = F.element_at(places, F.col("vslot").cast("string")) + F.pmod(F.xxhash64("row"), F.lit(PARTS)).cast("int")
+        records = records.withColumn("vslot", F.coalesce(part, F.col("vslot")))
+        weights = slot_bytes(records, slots + len(heavy) * PARTS)
+    m = balanced(weights, shards)
     if map_dir:
         m.save(docs.sparkSession, map_dir)
-    return assign(records, m)
+    return assign(records.drop("row"), m)

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +90,31 @@ def test_map_edits(spark, tmp_path):
     assert sharding.SlotMap.load(spark, str(tmp_path / "map")).owner == c.owner
     assert sharding.SlotMap.load(spark, str(tmp_path / "map"), 1).owner == a.owner
     assert a.frame(spark).filter(F.col("shard") > 7).isEmpty()
+
+
+def test_rules_with_dots_run_and_hosts_may_hold_anything(spark):
+    rules = [Rule("allow", "com", "/"), Rule("block", "example.com", "/v1.2/"), Rule("block", "example.com", "/a.b")]
+    urls = ["http://example.com/v1.2/x", "http://example.com/a.bc", "http://a\nb.example.com/v1.2/", "http://example.com/v1-2/"]
+    df = spark.createDataFrame([(i, u, "mine") for i, u in enumerate(urls)], "page_id long, url string, rule string")
+    for inline in (2000, 0):
+        got = {r.page_id: r.rule for r in url_filter.judge(df, rules, inline=inline).collect()}
+        assert got == {0: "example.com/v1.2/", 1: "example.com/a.b", 2: "example.com/v1.2/", 3: "com/"}
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(spark.createDataFrame([(1, "http://a\nb.example.com/en/x")], "page_id long, url string")).collect()}
+    assert got == {1: ("example.com/en/", "block")}
+
+
+def test_shards_against_python(spark):
+    import zlib
+
+    r = random.Random(3)
+    rows = [(i, "é" * r.randrange(50)) for i in range(600)] + [(7, "same text")] * 3000 + [(None, None)] * 40 + [(9, "z" * 40_000)]
+    df = spark.createDataFrame([(*x, 5, "b") for x in rows], "doc_id long, text string, shard int, slot string").repartition(3)
+    got = sharding.shard(df, shards=16, slots=512).toPandas()
+    want = sorted((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in rows if d is not None)
+    known = got[got.doc_id.notna()]
+    assert sorted(zip(known.doc_id.astype(int), known["size"], known.text_crc32)) == want and len(got) == len(rows)
+    for _, g in got.groupby("shard"):
+        assert sorted(g["slot"]) == list(range(len(g)))
+    loads = got[got["size"] < 40_000].groupby("shard")["size"].sum()
+    whole = got.groupby("shard")["size"].sum()
+    assert len(whole) == 16 and sorted(whole)[-2] < 1.1 * sorted(whole)[0] and (got[got.doc_id == 7].groupby("shard").size() < 600).all() and len(loads) >= 15
