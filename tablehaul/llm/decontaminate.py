@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from .common import slices
 
-N, THRESHOLD, GROUP = 3, 0.5, 20_000
+N, THRESHOLD, GROUP, GROUP_CHARS = 3, 0.5, 20_000, 8 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 WORD = re.compile(r"\w+")
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -146,13 +146,15 @@ def matches(items: Items, text: str | None, threshold: float) -> list[tuple[int,
 
 
 def _groups(benchmark: DataFrame, group: int) -> Iterator[list[tuple[int, str | None]]]:
-    """The items in groups of bounded size, through the driver one group at a time."""
-    rows = []
+    """The items in groups of at most ``group`` items and, but for the last item, ``GROUP_CHARS`` characters, through the
+    driver one group at a time."""
+    rows, size = [], 0
     for r in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
         rows.append((r.item_id, r.text))
-        if len(rows) == group:
+        size += len(r.text or "")
+        if len(rows) == group or size >= GROUP_CHARS:
             yield rows
-            rows = []
+            rows, size = [], 0
     if rows:
         yield rows
 
