@@ -7,8 +7,8 @@ of any length is never gathered into one row or task: places are running sums in
 of the chunks before. ``dialogues`` glues the turns together where a length bound allows it.
 
 Defined results: a null role is a speaker named ``unknown``; a null text is empty; turns in equal places are ordered
-by speaker and text; a null turn comes first; a conversation of system turns only has no perspective; an empty
-table gives no rows; other columns are ignored.
+by speaker and text; a null turn comes first; a conversation of system turns only has no perspective; turns
+without a conv_id belong to no conversation and give no rows; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
