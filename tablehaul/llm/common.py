@@ -67,11 +67,13 @@ def discard(*stages: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
-def join_hot(rows: DataFrame, table: DataFrame, key: str, share: int = 1000) -> DataFrame:
+def join_hot(rows: DataFrame, table: DataFrame, key: str, share: int = 1000, counted: DataFrame | None = None) -> DataFrame:
     """``rows`` left-joined with ``table``, which has each key once. Rows of keys that hold more than one in ``share`` of
-    all rows stay where they are: there are at most ``share`` such keys, so what they need is broadcast."""
-    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n"))
-    total = rows.count()
+    all rows stay where they are: there are at most ``share`` such keys, so what they need is broadcast. ``counted``: a
+    cheaper table with the same keys."""
+    counted = rows if counted is None else counted
+    counts = counted.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n"))
+    total = counted.count()
     hot = [r[0] for r in counts.filter(F.col("__n") * share > total).select(key).collect()]  # fewer than ``share``
     if not hot:
         return rows.join(table, key, "left")

@@ -50,10 +50,15 @@ def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def prefix(raw: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Running sums: the polynomial of raw[a:b] is (out[b] - out[a]) * P**-a."""
-    out = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(table[raw] * powers(len(raw))[0], out=out[1:])
+def values(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent numbers for each token: a byte, or a word's hash."""
+    return (PLAIN[tokens], OTHER[tokens]) if tokens.dtype == np.uint8 else (tokens, mix(tokens ^ K2))
+
+
+def prefix(numbers: np.ndarray) -> np.ndarray:
+    """Running sums: the polynomial of numbers[a:b] is (out[b] - out[a]) * P**-a."""
+    out = np.zeros(len(numbers) + 1, np.uint64)
+    np.cumsum(numbers * powers(len(numbers))[0], out=out[1:])
     return out
 
 

@@ -78,4 +78,4 @@ def op7(spark, d):
 
 @query("op8_repeats")
 def op8(spark, d):
-    return repeats.deduplicate(read(spark, d, "documents"))
+    return repeats.deduplicate(read(spark, d, "documents"), passage=repeats.PASSAGE)

@@ -1,9 +1,12 @@
 """Exact repeated windows across a corpus by a depth-limited radix sort of suffixes.
 
-Every byte position starts a suffix, of which only the first ``WINDOW`` bytes count. Suffixes are sorted by most
-significant digits first, a group of one leaves the sort, and groups that are equal through the last digit are
-exactly the repeated windows. Digits are fingerprints of content, so equal suffixes get equal digits wherever they
-lie, and passes are group-bys over fingerprints, not over text.
+Every token (a byte, or a word) starts a suffix, of which only the first ``window`` tokens count. Passes group suffixes
+by digits, a group of one leaves the sort, and groups that are equal through the last digit are exactly the repeated
+windows. Digits are fingerprints, so equal suffixes get equal digits wherever they lie, and passes are group-bys.
+
+Where it departs from the plain sort: suffixes don't move one by one. Sixteen bytes (digit, place) for each byte of text
+are far more than the disk that a run may use, so suffixes of neighbouring places are passed on in runs, and the most
+significant digit is not the first bytes but an anchor inside the window that neighbours share.
 
 A window belongs to its anchor, the ``GRAM``-byte string in it with the least fingerprint (the last of equals), and has
 an offset d to it. Neighbours share anchors, about one for a hundred bytes, so windows are sorted in runs: those of one
@@ -15,11 +18,11 @@ A pass groups runs by core and then by hull:
 - where a core has several hulls and one of them occurs once, one run of each hull goes on to the next pass, which
   reads smaller blocks; of hulls that occur twice it only stands for the others.
 
-The first pass has one block (the core is the anchor), the second blocks of the square root of all offsets, the last
+The first pass has one block (the core is about the anchor), the second blocks of the square root of all offsets, the last
 single windows, where core and hull are the window. So around an edit of a near copy only the runs at its two edges
 are read to the end.
 
-Core and hull have 64 bits each, by different byte tables. Every pass is pre-aggregated group-bys and joins on their
+Core and hull have 64 bits each, from different numbers for each token; windows are not compared token by token. Every pass is pre-aggregated group-bys and joins on their
 staged results, so groups of any size are split among tasks; a text moves only if it holds a repeated anchor.
 
 Defined results: matches never cross rows; overlaps with itself count; a null text is empty; texts are known by a
@@ -31,17 +34,18 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, staged
-from .hashing import K1, K2, K3, OTHER, PLAIN, mix, powers, prefix
+from .common import discard, join_hot, lean, slices, staged
+from .hashing import K1, K2, K3, mix, powers, prefix, values, words
 
 WINDOW, SLICE, ROWS = 400, 2 << 20, 1 << 16
+PASSAGE, GRAM = 51, 10  # words
 SETTLED, OPEN, STANDS = 1, 2, 4
 
 
@@ -56,18 +60,27 @@ def slide_min(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[: n - w + 1], left[w - 1 : n])
 
 
+def half(window: int) -> int:
+    return max(1, window // 2)
+
+
+def tokens(raw: bytes, by_word: bool = False) -> np.ndarray:
+    """The bytes, or hashes of the words (A-Z count as a-z)."""
+    a = np.frombuffer(raw, np.uint8)
+    return words(a, np.array([0, len(a)]))[0] if by_word else a
+
+
 class Suffixes:
     """A text's windows, by anchor: ``pos``, and least and greatest offset of the windows that belong to it.
 
     A run is numbered ``anchor * offsets + block``.
     """
 
-    def __init__(self, raw: np.ndarray, window: int = WINDOW):
-        self.raw, self.window = raw, window
-        gram = max(1, window // 2)
+    def __init__(self, raw: np.ndarray, window: int = WINDOW, gram: int | None = None):
+        self.window, gram = window, gram or half(window)
         self.n, self.offsets = len(raw) - window + 1, window - gram + 1
         self.inverse = powers(len(raw) + 1)[1]
-        self.sums, self.second = prefix(raw, PLAIN), prefix(raw, OTHER)
+        self.sums, self.second = map(prefix, values(raw))
         h = self._span(self.sums, np.arange(len(raw) - gram + 1), gram)
         own = self._anchors(h, slide_min(h, self.offsets), self.offsets)
         self.pos, first, many = np.unique(own, return_index=True, return_counts=True)
@@ -156,28 +169,29 @@ def _packed(parts: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
 DIGITS = "key long, run long, v long, u long, open boolean"
 
 
-def first_digits(texts: DataFrame, window: int) -> DataFrame:
+def first_digits(texts: DataFrame, window: int, gram: int, by_word: bool) -> DataFrame:
     """A run of all windows for each anchor of key, raw."""
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for key, raw in _texts(batches):
-            s = Suffixes(np.frombuffer(raw, np.uint8), window)
-            run = np.arange(len(s.pos)) * s.offsets
-            yield key, run, *s.digits(run, s.offsets), np.ones(len(run), bool)
+            if len(t := tokens(raw, by_word)) >= window:
+                s = Suffixes(t, window, gram)
+                run = np.arange(len(s.pos)) * s.offsets
+                yield key, run, *s.digits(run, s.offsets), np.ones(len(run), bool)
 
-    return texts.mapInArrow(lambda batches: _packed(parts(batches)), DIGITS)
+    return texts.mapInArrow(lean(lambda batches: _packed(parts(batches))), DIGITS)
 
 
-def next_digits(marked: DataFrame, window: int, block: int, into: int) -> DataFrame:
+def next_digits(marked: DataFrame, window: int, gram: int, by_word: bool, block: int, into: int) -> DataFrame:
     """Runs of smaller blocks from the runs that go on. Input: key, raw, open, stands."""
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for key, raw, is_open, stands in _texts(batches):
-            s = Suffixes(np.frombuffer(raw, np.uint8), window)
+            s = Suffixes(tokens(raw, by_word), window, gram)
             run, parent = s.split(np.array(is_open + stands, np.int64), block, into)
             yield key, run, *s.digits(run, into), parent < len(is_open)
 
-    return marked.mapInArrow(lambda batches: _packed(parts(batches)), DIGITS)
+    return marked.mapInArrow(lean(lambda batches: _packed(parts(batches))), DIGITS)
 
 
 def resolve(runs: DataFrame, name: str) -> DataFrame:
@@ -193,12 +207,14 @@ def resolve(runs: DataFrame, name: str) -> DataFrame:
     mixed = hits.filter("mixed")
     hulls = staged(mixed.groupBy("v", "u").agg(F.sum(weight).alias("n"), F.min(F.struct("key", "run")).alias("first")), f"{name}-hulls")
     undone = staged(hulls.filter("n = 1").select("v", F.lit(True).alias("undone")).distinct(), f"{name}-open")  # staged, so that a core of many hulls can be split in the join
-    hulls = staged(hulls.join(undone, "v", "left"), f"{name}-undone")
+    told = staged(hulls.join(undone, "v", "left"), f"{name}-undone")
     first = (F.col("first.key") == F.col("key")) & (F.col("first.run") == F.col("run"))
     bit = lambda c, value: F.when(c, value).otherwise(0)
     what = F.when(F.col("n") == 1, OPEN).otherwise(bit(F.col("open"), SETTLED) + bit(F.coalesce("undone", F.lit(False)) & first, STANDS))
-    split = mixed.select("key", "run", "v", "u", "open").join(hulls, ["v", "u"]).select("key", "run", what.alias("what")).filter("what > 0")
-    return staged(hits.filter("not mixed").select("key", "run", F.lit(SETTLED).alias("what")).unionByName(split), f"{name}-runs")
+    split = mixed.select("key", "run", "v", "u", "open").join(told, ["v", "u"]).select("key", "run", what.alias("what")).filter("what > 0")
+    out = staged(hits.filter("not mixed").select("key", "run", F.lit(SETTLED).alias("what")).unionByName(split), f"{name}-runs")
+    discard(runs, cores, hits, hulls, undone, told)
+    return out
 
 
 def by_text(runs: DataFrame, **bits: int) -> DataFrame:
@@ -206,52 +222,83 @@ def by_text(runs: DataFrame, **bits: int) -> DataFrame:
     return runs.groupBy("key").agg(*(F.collect_set(F.when(F.col("what").bitwiseAND(bit) > 0, F.col("run"))).alias(name) for name, bit in bits.items()))
 
 
-def removal(raw: bytes, window: int, starts: np.ndarray) -> tuple[int, int, str]:
-    """(bytes removed, runs, sha256 of the rest) for a text whose repeated windows begin at ``starts``."""
-    edge = np.zeros(len(raw) + 1, np.int64)
+def covered(n: int, window: int, starts: np.ndarray) -> np.ndarray:
+    """Which of ``n`` tokens the windows that begin at ``starts`` cover."""
+    edge = np.zeros(n + 1, np.int64)
     edge[starts] += 1
     np.add.at(edge, starts + window, -1)
-    gone = np.cumsum(edge)[:-1] > 0
+    return np.cumsum(edge)[:-1] > 0
+
+
+def removal(raw: bytes, gone: np.ndarray) -> tuple[int, int, str]:
+    """(bytes removed, runs, sha256 of the rest)."""
     runs = int(gone[0]) + int((np.diff(gone.astype(np.int8)) == 1).sum()) if len(gone) else 0
     return int(gone.sum()), runs, hashlib.sha256(np.frombuffer(raw, np.uint8)[~gone].tobytes()).hexdigest()
 
 
-def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256: a row for each row of ``docs``."""
-    raw = F.coalesce("text", F.lit("")).cast("binary")
-    keyed = docs.select("doc_id", raw.alias("raw")).withColumn("n_bytes", F.octet_length("raw").cast("bigint")).withColumn("key", F.xxhash64("raw", "n_bytes"))
-    base = staged(keyed.select("doc_id", "key", "n_bytes", F.sha2("raw", 256).alias("sha")), "repeats-base")
-    copies = base.filter(F.col("n_bytes") >= window).groupBy("key").agg((F.count("*") > 1).alias("copied"))
-    long_ = keyed.filter(F.col("n_bytes") >= window).select("key", "raw")
-    blocks = [window - max(1, window // 2) + 1, max(1, math.isqrt(window // 2)), 1]
-    goes_on = F.size("open") + F.size("stands") > 0
-    # A text that is there twice is repeated as a whole; its runs matter only where they stand for others.
-    top = resolve(staged(first_digits(long_, window), "repeats-digits"), "repeats-first")
-    marks = by_text(top, settled=SETTLED, open=OPEN, stands=STANDS).join(copies, "key").filter(goes_on | ~F.col("copied"))
+def repeated(texts: DataFrame, base: DataFrame, window: int, gram: int, by_word: bool, result: Callable, schema: str, copies: DataFrame | None = None) -> DataFrame:
+    """key and what ``result`` makes of (raw, covered tokens), for texts with repeated windows. Staged.
+
+    ``texts``: key, raw; ``base``: the keys of all rows. ``copies`` (key, copied): a text that is there twice is repeated as
+    a whole; its runs matter only where they stand for others, and it gets no row.
+    """
+    blocks = [window - gram + 1, max(1, math.isqrt(window - gram)), 1]
+    top = resolve(staged(first_digits(texts, window, gram, by_word), "repeats-digits"), "repeats-first")
+    marks = by_text(top, settled=SETTLED, open=OPEN, stands=STANDS)
+    marks = marks.join(copies, "key").filter((F.size("open") + F.size("stands") > 0) | ~F.col("copied")) if copies is not None else marks.withColumn("copied", F.lit(False))
     marks = staged(marks, "repeats-marks")
-    marked = staged(long_.join(marks.select("key"), "key").groupBy("key").agg(F.first("raw").alias("raw")), "repeats-texts")
+    found = join_hot(texts, marks.select("key", F.lit(True).alias("found")), "key", counted=base).filter("found")
+    marked = staged(found.groupBy("key").agg(F.first("raw").alias("raw")), "repeats-texts")
     passes = [top]
     for block, into in zip(blocks, blocks[1:], strict=False):
         on = by_text(passes[-1].filter(F.col("what").bitwiseAND(OPEN + STANDS) > 0), open=OPEN, stands=STANDS)
-        runs = next_digits(marked.join(on, "key").select("key", "raw", "open", "stands"), window, block, into)
+        runs = next_digits(marked.join(on, "key").select("key", "raw", "open", "stands"), window, gram, by_word, block, into)
         passes.append(resolve(staged(runs, "repeats-digits"), "repeats-next"))
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, raw, *settled in _texts(batches):
-            s = Suffixes(np.frombuffer(raw, np.uint8), window)
-            starts = np.zeros(s.n, bool)
-            for run, block in zip(settled, blocks, strict=True):
-                starts |= s.starts(np.array(run or [], np.int64), block)
-            n, spans, sha = removal(raw, window, np.flatnonzero(starts))
-            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([n], pa.int64()), pa.array([spans], pa.int64()), pa.array([sha])], ["key", "n_removed", "n_spans", "kept"])
+        for b in slices(batches, SLICE):
+            rows = []
+            for key, raw, *settled in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                t = tokens(raw, by_word)
+                s = Suffixes(t, window, gram)
+                starts = np.zeros(s.n, bool)
+                for run, block in zip(settled, blocks, strict=True):
+                    starts |= s.starts(np.array(run or [], np.int64), block)
+                rows.append((key, *result(raw, covered(len(t), window, np.flatnonzero(starts)))))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
 
     read = marked.join(marks.filter(~F.col("copied")).select("key", F.col("settled").alias("s0")), "key")
     for i, p in enumerate(passes[1:], 1):
         read = read.join(by_text(p.filter(F.col("what").bitwiseAND(SETTLED) > 0), **{f"s{i}": SETTLED}), "key", "left")
-    done = read.select("key", "raw", "s0", "s1", "s2").mapInArrow(finish, "key long, n_removed long, n_spans long, kept string")
-    whole = copies.filter("copied").select("key", F.lit(True).alias("whole"))
+    done = staged(read.select("key", "raw", "s0", "s1", "s2").mapInArrow(lean(finish), schema), "repeats-done")
+    discard(marks, marked, *passes)
+    return done
+
+
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    raw = F.coalesce("text", F.lit("")).cast("binary")
+    return docs.select("doc_id", raw.alias("raw")).withColumn("n_bytes", F.octet_length("raw").cast("bigint")).withColumn("key", F.xxhash64("raw", "n_bytes"))
+
+
+def deduplicate(docs: DataFrame, window: int = WINDOW, passage: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256: a row for each row of ``docs``.
+
+    With ``passage`` also n_passage_words: the words covered by strings of so many words that start elsewhere too. They
+    are counted, not removed: short words make such passages of fewer than ``window`` bytes.
+    """
+    keyed = keyed_texts(docs)
+    base = staged(keyed.select("doc_id", "key", "n_bytes", F.sha2("raw", 256).alias("sha")), "repeats-base")
+    copies = base.filter(F.col("n_bytes") >= window).groupBy("key").agg((F.count("*") > 1).alias("copied"))
+    long_ = keyed.filter(F.col("n_bytes") >= window).select("key", "raw")
+    done = repeated(long_, base, window, half(window), False, removal, "key long, n_removed long, n_spans long, kept string", copies)
+    told = done.join(copies.filter("copied").select("key", F.lit(True).alias("whole")), "key", "full")
+    if passage:
+        wide = keyed.filter(F.col("n_bytes") >= 2 * passage - 1).select("key", "raw")
+        count = lambda _, gone: (int(gone.sum()),)
+        told = told.join(repeated(wide, base, passage, min(GRAM, half(passage)), True, count, "key long, n_passage_words long"), "key", "full")
     result = lambda all_, some, none: F.when(F.col("whole"), all_).otherwise(F.coalesce(some, none))
-    return base.join(staged(done, "repeats-done"), "key", "left").join(whole, "key", "left").select(
+    return join_hot(base, staged(told, "repeats-told"), "key").select(
         "doc_id", "n_bytes", result(F.col("n_bytes"), "n_removed", F.lit(0)).cast("bigint").alias("n_removed"), result(F.lit(1), "n_spans", F.lit(0)).cast("bigint").alias("n_spans"),
-        result(F.sha2(F.lit(b""), 256), "kept", "sha").alias("kept_sha256"),
+        result(F.sha2(F.lit(b""), 256), "kept", "sha").alias("kept_sha256"), *([F.coalesce("n_passage_words", F.lit(0)).cast("bigint").alias("n_passage_words")] if passage else []),
     )

@@ -42,3 +42,23 @@ def test_whole_table(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
     got = rows(queries.QUERIES["op8_repeats"](spark, d))
     assert got == brute(docs, 400) and any(r[2] for r in got)
+
+
+@pytest.mark.parametrize("passage", [3, 51])
+def test_passages_against_every_string_of_words(spark, passage):
+    r = random.Random(passage)
+    text = lambda n: [r.choice("ab") * r.randrange(1, 6) for _ in range(n)]
+    shared = [text(r.randrange(passage, 2 * passage)) for _ in range(5)]
+    docs = [(i, (" \n" if i % 2 else " ").join(w.upper() if i % 3 else w for k in range(r.randrange(4)) for w in (*text(r.randrange(2 * passage)), *(r.choice(shared) if k else [])))) for i in range(50)]
+    docs += [(90, docs[1][1]), (91, None), (None, "a " * 9 * passage), (92, "")]
+    split = [(d, (t or "").lower().split()) for d, t in docs]
+    seen = Counter(tuple(w[q : q + passage]) for _, w in split for q in range(len(w) - passage + 1))
+    want = []
+    for d, w in split:
+        gone = [False] * len(w)
+        for q in range(len(w) - passage + 1):
+            if seen[tuple(w[q : q + passage])] > 1:
+                gone[q : q + passage] = [True] * passage
+        want.append((d, sum(gone)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert sorted(((x.doc_id, x.n_passage_words) for x in repeats.deduplicate(df, 40, passage).collect()), key=repr) == sorted(want, key=repr)
