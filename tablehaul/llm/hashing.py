@@ -42,7 +42,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a text column; nulls are empty. Both begin at 0."""
-    col = pc.fill_null(col, "")
+    col = pc.fill_null(col, b"" if pa.types.is_binary(col.type) else "")
     wide = pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type)
     _, off, data = col.buffers()
     offsets = np.frombuffer(off, np.int64 if wide else np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, join_hot, lean, slices, staged
-from .hashing import K1, K2, K3, mix, powers, prefix, values, words
+from .hashing import K1, K2, K3, column_bytes, mix, powers, prefix, values, words
 
 WINDOW, SLICE, ROWS = 400, 2 << 20, 1 << 16
 PASSAGE, GRAM = 51, 10  # words
@@ -173,11 +173,14 @@ def first_digits(texts: DataFrame, window: int, gram: int, by_word: bool) -> Dat
     """A run of all windows for each anchor of key, raw."""
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for key, raw in _texts(batches):
-            if len(t := tokens(raw, by_word)) >= window:
-                s = Suffixes(t, window, gram)
-                run = np.arange(len(s.pos)) * s.offsets
-                yield key, run, *s.digits(run, s.offsets), np.ones(len(run), bool)
+        for b in slices(batches, SLICE):
+            raw, at = column_bytes(b.column(1))
+            all_, at = words(raw, at) if by_word else (raw, at)
+            for key, i, j in zip(b.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if j - i >= window:
+                    s = Suffixes(all_[i:j], window, gram)
+                    run = np.arange(len(s.pos)) * s.offsets
+                    yield key, run, *s.digits(run, s.offsets), np.ones(len(run), bool)
 
     return texts.mapInArrow(lean(lambda batches: _packed(parts(batches))), DIGITS)
 
