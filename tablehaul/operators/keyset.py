@@ -89,8 +89,8 @@ def assign_batches(df: DataFrame, keys: Sequence[str], size: int, buckets: int =
 def key_ranges(df: DataFrame, key: str, parts: int) -> list[tuple[object, object]]:
     """At most ``parts`` half-open ranges (low, high] over the first key column, from approximate quantiles.
 
-    The outer ends are open, so the ranges cover every row whatever the quantiles' error. ``parts`` bounds what the
-    driver holds.
+    The outer ends are open and null keys belong to the first range, so the ranges cover every row whatever the quantiles'
+    error. ``parts`` bounds what the driver holds.
     """
     if parts <= 1:
         return [(None, None)]
@@ -101,5 +101,6 @@ def key_ranges(df: DataFrame, key: str, parts: int) -> list[tuple[object, object
 
 def range_predicate(key: str, low, high) -> Column:
     c = F.col(f"`{key}`")
-    held = F.lit(True) if low is None else c > F.lit(low)
-    return held if high is None else held & (c <= F.lit(high))
+    if low is None:
+        return F.lit(True) if high is None else c.isNull() | (c <= F.lit(high))
+    return c > F.lit(low) if high is None else (c > F.lit(low)) & (c <= F.lit(high))

@@ -59,9 +59,41 @@ def append_checked(df: DataFrame, path: str, expected: int | None = None, mode:
     return n
 
 
+def shared_dir(spark) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir or the session's checkpoint folder names it.
+
+    Without either, a session on one machine uses a folder of its own there; on a cluster that is an error.
+    """
+    if base := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return base
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if not (own := getattr(spark.sparkContext, "_tablehaul_dir", None)):
+        import tempfile
+
+        own = spark.sparkContext._tablehaul_dir = f"file://{tempfile.mkdtemp(prefix='tablehaul-')}"
+    return own
+
+
 def load_batch(spark, batch: DataFrame, base: str, batch_id: int) -> int:
-    """A batch's rows go to a folder named by its number, so a replay replaces them: each batch counts once."""
-    return append_checked(batch, f"{base}/batch={batch_id}", mode="overwrite")
+    """A batch's files carry its number in their names, so a replay replaces them: each batch counts once.
+
+    Rows are written to a hidden folder and their files moved beside those of other batches. The table is a plain
+    folder of files with the batch's own columns, whatever they are called: no partition column is added.
+    """
+    path, held, mark = spark._jvm.org.apache.hadoop.fs.Path, f"{base}/_batch-{batch_id}", f"batch-{batch_id}-"
+    fs = path(base).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    n = append_checked(batch, held, mode="overwrite")
+    for f in fs.listStatus(path(base)):
+        if f.getPath().getName().startswith(mark):
+            fs.delete(f.getPath(), False)
+    for f in fs.listStatus(path(held)):
+        name = f.getPath().getName()
+        if name.startswith("part-") and not fs.rename(f.getPath(), path(f"{base}/{mark}{name}")):
+            raise RuntimeError(f"{name} of batch {batch_id} can't be moved to {base}")
+    fs.delete(path(held), True)
+    return n
 
 
 def keyless_load(df: DataFrame, path: str) -> int:

@@ -56,7 +56,8 @@ class Runner:
     """Moves tables of ``source`` (``read``, ``tables``, ``version``) into folders under ``target``.
 
     A table is one Spark job that all executors share; ``workers`` is how many tables' jobs are in flight. A table's
-    rows land in ``target/<table>/load=<n>``, so a crashed load is replaced and never doubled.
+    rows land in ``target/<table>`` in files of one batch, so a crashed load is replaced and never doubled. A table
+    without a key is only loaded into an empty target, unless this session's own load broke off there.
     """
 
     def __init__(self, spark: SparkSession, source, target: str, store: Store, session: str, options: Options | None = None):
@@ -125,11 +126,13 @@ class Runner:
         try:
             if self.stop.is_set():
                 raise Interrupted(t.name)
+            if not t.key and c.status not in {"in_progress", "error"} and (held := self.target_rows(t.name)):
+                raise RuntimeError(f"{t.name} has no primary key, and its target holds {held} rows already")
             total = self.source.read(t.name).count()
             c.status, c.row_count, c.batch_size = "in_progress", total, self.options.batch
             self.store.save(c)
             checked = self.converted(t, demoted)
-            if found := V.violation_counts(checked).orderBy("column", "reason").limit(100).collect():
+            if found := V.violation_counts(checked).orderBy("column", "reason").collect():  # a row for each column and reason
                 self.violations[t.name] = found
                 raise ValueError(f"{t.name}: " + "; ".join(f"{r.column}: {r.reason} ({r.n} rows)" for r in found))
             types = {x.name: target_type(x, "enum", x.name in demoted) for x in t.columns}

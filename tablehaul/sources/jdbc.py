@@ -33,11 +33,13 @@ def literal(v) -> str:
 
 
 def range_predicates(key: str, ranges: Sequence[tuple[object, object]], q: str = '"') -> list[str]:
-    """One WHERE text for each range (low, high], open at None: one partition each."""
+    """One WHERE text for each range (low, high], open at None: one partition each. Null keys belong to the first."""
     name = q + key.replace(q, q * 2) + q
     out = []
     for low, high in ranges:
         held = [f"{name} {op} {literal(v)}" for op, v in ((">", low), ("<=", high)) if v is not None]
+        if low is None and held:
+            held = [f"({held[0]} OR {name} IS NULL)"]
         out.append(" AND ".join(held) or "1 = 1")
     return out
 
@@ -49,12 +51,17 @@ class JdbcSource:
         self.spark, self.url = spark, url
         self.properties = {"fetchsize": str(fetch), **({"driver": driver} if driver else {}), **properties}
 
+    @property
+    def quote(self) -> str:
+        """What names are quoted with: in MySQL double quotes make a text."""
+        return "`" if self.url.lower().startswith(("jdbc:mysql:", "jdbc:mariadb:")) else '"'
+
     def read(self, table: str, columns: Sequence[str] | None = None) -> DataFrame:
         df = self.spark.read.jdbc(self.url, table, properties=self.properties)
         return df.select(*columns) if columns else df
 
     def read_ranges(self, table: str, key: str, ranges: Sequence[tuple[object, object]]) -> DataFrame:
-        return self.spark.read.jdbc(self.url, table, predicates=range_predicates(key, ranges), properties=self.properties)
+        return self.spark.read.jdbc(self.url, table, predicates=range_predicates(key, ranges, self.quote), properties=self.properties)
 
     def query(self, sql: str) -> DataFrame:
         return self.spark.read.format("jdbc").options(url=self.url, query=sql, **self.properties).load()

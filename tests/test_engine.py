@@ -243,3 +243,19 @@ def test_keyset_stream(spark, tmp_path):
     stream = spark.readStream.format("keyset").schema(df.schema).option("key", "o_orderkey").load(f"{SF}/orders.parquet")
     seen = microbatch.copy_stream(stream, str(tmp_path / "o"), str(tmp_path / "c"))
     assert sum(seen) == df.count() and spark.read.parquet(str(tmp_path / "o")).select("o_orderkey").distinct().count() == df.count()
+
+
+def test_batches_keep_a_column_of_that_name(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1), ("b", None)], "batch string, n int")
+    path = str(tmp_path / "t")
+    assert load.load_batch(spark, df, path, 0) == 2 and load.load_batch(spark, df.limit(1), path, 1) == 1 and load.load_batch(spark, df, path, 0) == 2
+    got = spark.read.parquet(path)
+    assert got.columns == df.columns and sorted(r.batch for r in got.collect()) in (["a", "a", "b"], ["a", "b", "b"])
+    assert load.load_batch(spark, df.limit(0), path, 1) == 0 and load.checksum(spark.read.parquet(path)).collect() == load.checksum(df).collect()
+
+
+def test_null_keys_belong_to_the_first_range(spark):
+    df = spark.createDataFrame([(None,), *((i,) for i in range(50))], "k int")
+    ranges = keyset.key_ranges(df, "k", 4)
+    assert len(ranges) > 1 and sum(df.filter(keyset.range_predicate("k", *r)).count() for r in ranges) == 51
+    assert jdbc.range_predicates("k", [(None, 5), (5, None)], "`") == ["(`k` <= 5 OR `k` IS NULL)", "`k` > 5"]
