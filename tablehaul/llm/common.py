@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.load import shared_dir
 
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ARROW_BYTES, ARROW_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
@@ -18,33 +19,14 @@ def read(spark: SparkSession, base: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir or the session's checkpoint folder names it.
-
-    Without either, a session on one machine uses a folder of its own there; on a cluster that is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base:
-        return base
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if not (own := getattr(spark.sparkContext, "_tablehaul_dir", None)):
-        import tempfile
-
-        own = spark.sparkContext._tablehaul_dir = f"file://{tempfile.mkdtemp(prefix='tablehaul-')}"
-    return own
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: later reads don't compute it anew, and lost executors lose nothing.
 
-    Shuffle files of the write are freed when it ends, for nothing reads them again. Batches sent to Python hold some
-    ``ARROW_LIMIT`` each, which bounds what both sides keep of wide rows.
+    Shuffle files of the write are freed when it ends, for nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    during = {FREE_SHUFFLES: "true", ARROW_BYTES: ARROW_LIMIT}
+    during = {FREE_SHUFFLES: "true"}
     before = {k: spark.conf.get(k) for k in during}
     for k, v in during.items():
         spark.conf.set(k, v)
@@ -95,20 +77,25 @@ def slices(batches: Iterable, size: int = 8 << 20) -> Iterator:
             yield b.slice(i, step)
 
 
+def trim() -> None:
+    """Gives free memory of this process back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc alone has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``run`` for mapInArrow; when its task ends, the worker, which lives on, gives free memory back to the system."""
 
     def wrapped(batches: Iterator) -> Iterator:
-        import ctypes
-
-        import pyarrow as pa
-
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # glibc alone has it
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            trim()
 
     return wrapped
 
@@ -119,6 +106,8 @@ def ship(spark: SparkSession) -> None:
     import zipfile
     from pathlib import Path
 
+    if spark.conf.get(ARROW_BYTES) != ARROW_LIMIT:  # batches of whole texts are bounded by bytes, not by rows alone
+        spark.conf.set(ARROW_BYTES, ARROW_LIMIT)
     sc = spark.sparkContext
     if getattr(sc, "_tablehaul_shipped", False):
         return

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import lean, slices
 
 N, THRESHOLD, GROUP, GROUP_CHARS = 3, 0.5, 20_000, 8 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -172,7 +172,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, g
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if i == 2 else pa.int64()) for i, c in enumerate(zip(*found, strict=True))], [f.split()[0] for f in schema.split(", ")])
 
-        part = docs.select("doc_id", "text").mapInArrow(run, schema)
+        part = docs.select("doc_id", "text").mapInArrow(lean(run), schema)
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
@@ -187,5 +187,5 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
                 ok = [not matches(items, t, threshold) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
                 yield b.filter(pa.array(ok, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs

@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import lean, slices
 
 SIZE, END_ID = 4096, 2
 SENTENCE, FORCED, GRID = 32, 128, 256
@@ -201,4 +201,4 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID
         if rows := packer.close():
             yield batch(rows)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), SCHEMA)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import boosting
-from .common import slices
+from .common import lean, slices
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "national_id", "iban")
@@ -240,7 +240,7 @@ def detect(docs: DataFrame) -> DataFrame:
                 rows.append((doc_id, *(sum(s[0] == k for s in base) for k in BASE), hashlib.sha256(digest_text(base).encode()).hexdigest(), digest_text(base + more)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), schema)
 
 
 def redact_text(text: str, trees: boosting.Trees, limits: dict[str, float]) -> str:
@@ -265,4 +265,4 @@ def redact(docs: DataFrame, column: str = "text") -> DataFrame:
             new = pa.array([redact_text(t, trees, limits) if t else t for t in b.column(i).to_pylist()], b.schema.field(i).type)
             yield b.set_column(i, b.schema.field(i), new)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

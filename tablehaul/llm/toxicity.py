@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, lean, slices
+from .common import crc32_mod, lean, slices, trim
 
 PER_CLASS = 4000
 K, NEAR, BLOCK, EVIDENCE = 30, 0.05, 128, 3
@@ -70,7 +70,7 @@ def counts(texts: list[str | None], known: dict[str, int], seen: dict) -> list[t
     """Of each text its known features, rising, and how often each occurs. ``seen`` keeps what words gave, and begins
     anew when it is large."""
     words = seen.get("words")
-    if words is None or len(words) > 300_000:
+    if words is None or len(words) > 100_000:
         words = seen["words"] = Words(known)
     ids = [np.fromiter(map(words.__getitem__, WORD.findall(t.lower())), np.int64) if t else np.zeros(0, np.int64) for t in texts]
     first, features = np.array(words.first), np.array(words.features, np.int64)
@@ -333,7 +333,10 @@ def train(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, p
     got = sample.mapInArrow(lean(vectors), "doc_id long, toxic int, f array<int>, n array<int>").toArrow()  # the sample, as counts of features
     lists = ([x.values.to_numpy(zero_copy_only=False) for x in got.column(c)] if len(got) else [] for c in ("f", "n"))
     rows = sorted(zip(got.column("doc_id").to_pylist(), got.column("toxic").to_pylist(), zip(*lists, strict=True), strict=True), key=lambda r: r[0])
-    return build(idf, rows, totals), known
+    index = build(idf, rows, totals)
+    del got, lists, rows, df
+    trim()
+    return index, known
 
 
 def score(docs: DataFrame, index: Index, known: dict[str, int]) -> DataFrame:
