@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -88,6 +89,13 @@ def trim() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def settle(spark: SparkSession) -> None:
+    """The driver's Python and JVM let go of what earlier steps left: many plans in one session pile up there."""
+    gc.collect()
+    trim()
+    spark._jvm.java.lang.System.gc()
+
+
 def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``run`` for mapInArrow; when its task ends, the worker, which lives on, gives free memory back to the system."""
 
@@ -108,6 +116,7 @@ def ship(spark: SparkSession) -> None:
 
     if spark.conf.get(ARROW_BYTES) != ARROW_LIMIT:  # batches of whole texts are bounded by bytes, not by rows alone
         spark.conf.set(ARROW_BYTES, ARROW_LIMIT)
+    settle(spark)
     sc = spark.sparkContext
     if getattr(sc, "_tablehaul_shipped", False):
         return
