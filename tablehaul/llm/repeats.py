@@ -8,7 +8,7 @@ Where it departs from the plain sort: suffixes don't move one by one. Sixteen by
 are far more than the disk that a run may use, so suffixes of neighbouring places are passed on in runs, and the most
 significant digit is not the first bytes but an anchor inside the window that neighbours share.
 
-A window belongs to its anchor, the ``GRAM``-byte string in it with the least fingerprint (the last of equals), and has
+A window belongs to its anchor, the ``GRAM``-byte string in it with the least fingerprint (of 32 bits, the last of equals), and has
 an offset d to it. Neighbours share anchors, about one for a hundred bytes, so windows are sorted in runs: those of one
 anchor whose offsets fall into one block. All windows of a block hold its core; a run's hull is what its windows cover.
 A pass groups runs by core and then by hull:
@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from .common import discard, join_hot, lean, slices, staged
 from .hashing import K1, K2, K3, column_bytes, mix, powers, prefix, values, words
 
-WINDOW, SLICE, ROWS = 400, 2 << 20, 1 << 16
+WINDOW, SLICE, ROWS = 400, 1 << 18, 1 << 16
 PASSAGE, GRAM = 51, 10  # words
 SETTLED, OPEN, STANDS = 1, 2, 4
 
@@ -64,45 +64,45 @@ def half(window: int) -> int:
     return max(1, window // 2)
 
 
-def tokens(raw: bytes, by_word: bool = False) -> np.ndarray:
-    """The bytes, or hashes of the words (A-Z count as a-z)."""
-    a = np.frombuffer(raw, np.uint8)
-    return words(a, np.array([0, len(a)]))[0] if by_word else a
-
-
 class Suffixes:
-    """A text's windows, by anchor: ``pos``, and least and greatest offset of the windows that belong to it.
+    """The windows of a batch of texts, by anchor: ``pos``, and least and greatest offset of the windows that belong to it.
 
-    A run is numbered ``anchor * offsets + block``.
+    The texts lie one after the other in ``raw`` (bytes, or hashes of words), text i from ``at[i]``; ``doc`` is an anchor's
+    text, ``first`` a text's first anchor. A run is numbered ``anchor * offsets + block``.
     """
 
-    def __init__(self, raw: np.ndarray, window: int = WINDOW, gram: int | None = None):
+    def __init__(self, raw: np.ndarray, at: np.ndarray, window: int = WINDOW, gram: int | None = None):
         self.window, gram = window, gram or half(window)
-        self.n, self.offsets = len(raw) - window + 1, window - gram + 1
+        self.n, self.offsets = max(0, len(raw) - window + 1), window - gram + 1
         self.inverse = powers(len(raw) + 1)[1]
         self.sums, self.second = map(prefix, values(raw))
-        h = self._span(self.sums, np.arange(len(raw) - gram + 1), gram)
-        own = self._anchors(h, slide_min(h, self.offsets), self.offsets)
-        self.pos, first, many = np.unique(own, return_index=True, return_counts=True)
-        self.greatest, self.least = self.pos - first, self.pos - (first + many - 1)
+        size = np.diff(at)
+        whole = np.ones(self.n, bool)  # windows that end in the text they begin in
+        for end, length in zip(at[1:].tolist(), size.tolist(), strict=True):
+            whole[max(0, end - min(length, window - 1)) : end] = False
+        start = np.flatnonzero(whole)
+        own = self._anchors(gram)[start]
+        edge = np.flatnonzero(np.diff(own, prepend=-1))  # anchors rise with the window
+        many = np.diff(np.append(edge, len(own)))
+        self.pos = own[edge]
+        self.greatest, self.least = self.pos - start[edge], self.pos - (start[edge] + many - 1)
+        self.doc = np.searchsorted(at, self.pos, side="right") - 1
+        self.first = np.searchsorted(self.doc, np.arange(len(size)))
 
     def _span(self, sums: np.ndarray, a: np.ndarray, n) -> np.ndarray:
         """Fingerprints of raw[a : a + n]."""
         return mix((sums[a + n] - sums[a]) * self.inverse[a])
 
-    @staticmethod
-    def _anchors(h: np.ndarray, least: np.ndarray, w: int) -> np.ndarray:
-        """For each window the last position that has its least fingerprint."""
-        where = np.arange(len(h))
-        cand = np.flatnonzero(h == _widest(least, len(h), w))
-        i = np.searchsorted(cand, where[: len(least)] + w - 1, side="right") - 1
-        out = cand[i]
-        wrong = np.flatnonzero(h[out] != least)
-        while len(wrong):
-            i[wrong] -= 1
-            out[wrong] = cand[i[wrong]]
-            wrong = wrong[h[out[wrong]] != least[wrong]]
-        return out
+    def _anchors(self, gram: int) -> np.ndarray:
+        """For each window the last position in it whose string has the least fingerprint, of 32 bits."""
+        if not self.n:
+            return np.zeros(0, np.int64)
+        m = len(self.sums) - gram
+        h = mix((self.sums[gram:] - self.sums[:m]) * self.inverse[:m])
+        low = np.uint64(0xFFFFFFFF)
+        h &= ~low
+        h |= low - np.arange(m, dtype=np.uint64)
+        return (low - (slide_min(h, self.offsets) & low)).astype(np.int64)
 
     def bounds(self, run: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(anchor position, least offset, greatest offset) of runs."""
@@ -135,25 +135,25 @@ class Suffixes:
         return np.cumsum(edge)[:-1] > 0
 
 
-def _widest(least: np.ndarray, n: int, w: int) -> np.ndarray:
-    """For each position the greatest of the window minima that cover it: it is an anchor if it equals that."""
-    pad = np.zeros(w - 1, np.uint64)
-    return ~slide_min(~np.concatenate([pad, least, pad]), w)[:n]
+def _suffixes(b: pa.RecordBatch, window: int, gram: int, by_word: bool) -> tuple[np.ndarray, Suffixes]:
+    """(keys, windows) of a batch of key, raw, ..."""
+    raw, at = column_bytes(b.column(1))
+    return b.column(0).to_numpy(), Suffixes(*(words(raw, at) if by_word else (raw, at)), window, gram)
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    for b in slices(batches, SLICE):
-        yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+def _runs(lists: pa.Array, s: Suffixes) -> tuple[np.ndarray, np.ndarray]:
+    """(text, run as numbered in the batch) of lists of the texts' own runs; a null list is empty."""
+    doc = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
+    return doc, lists.flatten().to_numpy().astype(np.int64) + s.first[doc] * s.offsets
 
 
 def _packed(parts: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
-    """Batches of some ``ROWS`` rows from arrays of (key, run, core, hull, open) for each text."""
+    """Batches of some ``ROWS`` rows from arrays of (key, run, core, hull, open)."""
     held: list[tuple] = []
     size = 0
 
     def batch() -> pa.RecordBatch:
-        key = np.repeat(np.array([h[0] for h in held], np.int64), [len(h[1]) for h in held])
-        run, v, u, is_open = (np.concatenate([h[j] for h in held]) for j in range(1, 5))
+        key, run, v, u, is_open = (np.concatenate([h[j] for h in held]) for j in range(5))
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(run), pa.array(v.view(np.int64)), pa.array(u.view(np.int64)), pa.array(is_open)], ["key", "run", "v", "u", "open"])
 
     for part in parts:
@@ -174,13 +174,9 @@ def first_digits(texts: DataFrame, window: int, gram: int, by_word: bool) -> Dat
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in slices(batches, SLICE):
-            raw, at = column_bytes(b.column(1))
-            all_, at = words(raw, at) if by_word else (raw, at)
-            for key, i, j in zip(b.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
-                if j - i >= window:
-                    s = Suffixes(all_[i:j], window, gram)
-                    run = np.arange(len(s.pos)) * s.offsets
-                    yield key, run, *s.digits(run, s.offsets), np.ones(len(run), bool)
+            key, s = _suffixes(b, window, gram, by_word)
+            run = np.arange(len(s.pos)) * s.offsets
+            yield key[s.doc], run - s.first[s.doc] * s.offsets, *s.digits(run, s.offsets), np.ones(len(run), bool)
 
     return texts.mapInArrow(lean(lambda batches: _packed(parts(batches))), DIGITS)
 
@@ -189,10 +185,12 @@ def next_digits(marked: DataFrame, window: int, gram: int, by_word: bool, block:
     """Runs of smaller blocks from the runs that go on. Input: key, raw, open, stands."""
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for key, raw, is_open, stands in _texts(batches):
-            s = Suffixes(tokens(raw, by_word), window, gram)
-            run, parent = s.split(np.array(is_open + stands, np.int64), block, into)
-            yield key, run, *s.digits(run, into), parent < len(is_open)
+        for b in slices(batches, SLICE):
+            key, s = _suffixes(b, window, gram, by_word)
+            (doc, is_open), (other, stands) = (_runs(b.column(i), s) for i in (2, 3))
+            run, parent = s.split(np.concatenate([is_open, stands]), block, into)
+            doc = np.concatenate([doc, other])[parent]
+            yield key[doc], run - s.first[doc] * s.offsets, *s.digits(run, into), parent < len(is_open)
 
     return marked.mapInArrow(lean(lambda batches: _packed(parts(batches))), DIGITS)
 
@@ -233,10 +231,10 @@ def covered(n: int, window: int, starts: np.ndarray) -> np.ndarray:
     return np.cumsum(edge)[:-1] > 0
 
 
-def removal(raw: bytes, gone: np.ndarray) -> tuple[int, int, str]:
+def removal(raw: np.ndarray, gone: np.ndarray) -> tuple[int, int, str]:
     """(bytes removed, runs, sha256 of the rest)."""
     runs = int(gone[0]) + int((np.diff(gone.astype(np.int8)) == 1).sum()) if len(gone) else 0
-    return int(gone.sum()), runs, hashlib.sha256(np.frombuffer(raw, np.uint8)[~gone].tobytes()).hexdigest()
+    return int(gone.sum()), runs, hashlib.sha256(raw[~gone].tobytes()).hexdigest()
 
 
 def repeated(texts: DataFrame, base: DataFrame, window: int, gram: int, by_word: bool, result: Callable, schema: str, copies: DataFrame | None = None) -> DataFrame:
@@ -261,14 +259,15 @@ def repeated(texts: DataFrame, base: DataFrame, window: int, gram: int, by_word:
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, SLICE):
-            rows = []
-            for key, raw, *settled in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                t = tokens(raw, by_word)
-                s = Suffixes(t, window, gram)
-                starts = np.zeros(s.n, bool)
-                for run, block in zip(settled, blocks, strict=True):
-                    starts |= s.starts(np.array(run or [], np.int64), block)
-                rows.append((key, *result(raw, covered(len(t), window, np.flatnonzero(starts)))))
+            raw, at = column_bytes(b.column(1))
+            t, word_at = words(raw, at) if by_word else (raw, at)
+            s = Suffixes(t, word_at, window, gram)
+            starts = np.zeros(s.n, bool)
+            for i, block in enumerate(blocks, 2):
+                starts |= s.starts(_runs(b.column(i), s)[1], block)
+            gone = covered(len(t), window, np.flatnonzero(starts))
+            bounds = zip(b.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), word_at[:-1].tolist(), word_at[1:].tolist(), strict=True)
+            rows = [(key, *result(raw[i:j], gone[k:m])) for key, i, j, k, m in bounds]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
 
     read = marked.join(marks.filter(~F.col("copied")).select("key", F.col("settled").alias("s0")), "key")
