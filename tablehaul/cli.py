@@ -20,11 +20,14 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("source")
         s.add_argument("--include", nargs="*")
         s.add_argument("--exclude", nargs="*")
+        s.add_argument("--key", action="append", default=[], help="TABLE=COLUMN,COLUMN: a table's primary key; the fixtures' keys hold if none is given")
         if name == "session":
             s.add_argument("target")
             s.add_argument("--store", default="tablehaul.db")
             s.add_argument("--id", default="default")
             s.add_argument("--workers", type=int, default=4)
+            s.add_argument("--batch", type=int, default=5000)
+            s.add_argument("--ranges", type=int, default=8)
             s.add_argument("--phase", default="all")
             s.add_argument("--fresh", action="store_true")
             s.add_argument("--cast", action="append", default=[])
@@ -47,7 +50,7 @@ def main(args: list[str] | None = None) -> int:
         for c in store.checkpoints(a.id):
             print(f"{c.session_id} {c.table_name} {c.status} {c.last_offset}/{c.row_count} {c.error_message}")
         if a.id:
-            for e in store.events_after(a.id, 0, 1 << 30)[-a.events :]:
+            for e in store.last_events(a.id, a.events):
                 print(f"{e['id']} {e['level']} {e['table_name']} {e['message']}")
         return 0
     from pyspark.sql import SparkSession
@@ -55,7 +58,8 @@ def main(args: list[str] | None = None) -> int:
     from .sources.tables import ParquetSource
 
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    source, chosen = ParquetSource(spark, a.source), TableFilter(a.include, a.exclude)
+    keys = {t: tuple(cols.split(",")) for t, _, cols in (k.partition("=") for k in a.key)}
+    source, chosen = ParquetSource(spark, a.source, keys=keys or None), TableFilter(a.include, a.exclude)
     if a.command == "dry-run":
         report = dry_run(source.tables(), source.read, chosen)
         print(render(report))
@@ -63,7 +67,7 @@ def main(args: list[str] | None = None) -> int:
     store = Store(a.store)
     if not store.session(a.id):
         store.create_session(a.id)
-    run = Runner(spark, source, a.target, store, a.id, Options(workers=a.workers, phase=a.phase, fresh=a.fresh, chosen=chosen, casts=a.cast, manual_path=a.manual, sink=lambda e: print(e["level"], e["table"], e["message"])))
+    run = Runner(spark, source, a.target, store, a.id, Options(batch=a.batch, ranges=a.ranges, workers=a.workers, phase=a.phase, fresh=a.fresh, chosen=chosen, casts=a.cast, manual_path=a.manual, sink=lambda e: print(e["level"], e["table"], e["message"])))
     print(run.start()["rows"], "rows")
     return 0
 

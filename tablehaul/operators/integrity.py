@@ -41,10 +41,11 @@ def orphan_sql(k: ForeignKey) -> str:
 
 
 def duplicate_keys(df: DataFrame, key: list[str], nulls_repeat: bool = False) -> DataFrame:
-    """Key values that more than one row has, with their count. In a unique index nulls don't repeat."""
+    """Key values that more than one row has, with their count ``n`` (``n_`` if the key has a column n). In a unique index nulls don't repeat."""
     if not nulls_repeat:
         df = df.dropna(subset=key)
-    return df.groupBy(*(f"`{k}`" for k in key)).agg(F.count("*").alias("n")).filter("n > 1")
+    n = "n_" if "n" in {k.lower() for k in key} else "n"
+    return df.groupBy(*(f"`{k}`" for k in key)).agg(F.count("*").alias(n)).filter(F.col(n) > 1)
 
 
 def types_fit(child: list[str], parent: list[str]) -> bool:

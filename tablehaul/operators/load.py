@@ -76,6 +76,15 @@ def shared_dir(spark) -> str:
     return own
 
 
+def clear(spark, base: str) -> None:
+    """Removes what ``load_batch`` wrote to a folder; other files stay."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for f in fs.listStatus(path) if fs.exists(path) else []:
+        if f.getPath().getName().startswith(("batch-", "_batch-")):
+            fs.delete(f.getPath(), True)
+
+
 def load_batch(spark, batch: DataFrame, base: str, batch_id: int) -> int:
     """A batch's files carry its number in their names, so a replay replaces them: each batch counts once.
 

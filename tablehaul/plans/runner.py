@@ -4,20 +4,22 @@ from __future__ import annotations
 
 import threading
 import time
+import uuid
 from collections.abc import Callable
 from concurrent.futures import FIRST_EXCEPTION, ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..functions.casts import CastRules, parse_rules
-from ..functions.cursor import encode
+from ..functions.cursor import decode, encode
 from ..functions.formats import duration, progress
 from ..functions.typemap import spark_type, target_type
 from ..model import Manual, Table
 from ..operators import groups, integrity, load
-from ..operators.keyset import last_key
+from ..operators.keyset import key_ranges, range_predicate
 from ..operators.selection import TableFilter, check_selected
 from . import ddl
 from .state import Checkpoint, Store
@@ -26,6 +28,7 @@ from .state import Checkpoint, Store
 @dataclass
 class Options:
     batch: int = 5000
+    ranges: int = 8
     workers: int = 4
     method: str = "copy"
     phase: str = "all"
@@ -36,8 +39,8 @@ class Options:
     manual_path: str | None = None
 
     def __post_init__(self):
-        if self.batch <= 0:
-            raise ValueError("the batch size is positive")
+        if self.batch <= 0 or self.ranges <= 0:
+            raise ValueError("the batch size and the number of ranges are positive")
         if not 1 <= self.workers <= 16:
             raise ValueError("1 to 16 workers")
         if self.method not in {"copy", "insert"}:
@@ -48,16 +51,32 @@ class Options:
             self.casts = parse_rules(self.casts)
 
 
+#: Types of a key's first column by which a table is cut into ranges; their values have a cursor form.
+CUT = {"tinyint", "smallint", "int", "bigint", "float", "double", "timestamp"}
+
+
 class Interrupted(RuntimeError):
     """The run was stopped; the table can be resumed."""
 
 
+def cursor(values: list) -> str:
+    """Empty where a value has no cursor form: there is nothing to resume from."""
+    try:
+        return encode(values)
+    except (TypeError, ValueError):
+        return ""
+
+
 class Runner:
     """Moves tables of ``source`` (``read``, ``tables``, ``version``) into folders under ``target``.
 
-    A table is one Spark job that all executors share; ``workers`` is how many tables' jobs are in flight. A table's
-    rows land in ``target/<table>`` in files of one batch, so a crashed load is replaced and never doubled. A table
-    without a key is only loaded into an empty target, unless this session's own load broke off there.
+    A table is loaded by ranges of its key's first column, ``batch`` rows or more each and ``ranges`` at most, for a source
+    that isn't ordered by that key is read once a range. A range is one Spark job that all executors share, and its end is
+    saved when its rows are in ``target/<table>``; ``workers`` is how many tables' jobs are in flight. A run that broke off
+    goes on after the last end. A range's files are named by the rows before it, so a replay replaces them and never
+    doubles. Keys that are text, decimals or dates make one range. A table without a key is one range too, and is only
+    loaded into an empty target, unless this session's own load broke off there. The first failure cancels the other
+    tables' jobs; they can be resumed.
     """
 
     def __init__(self, spark: SparkSession, source, target: str, store: Store, session: str, options: Options | None = None):
@@ -65,6 +84,7 @@ class Runner:
         self.options, self.manual = options or Options(), []
         self.stop, self.lock, self.warned, self.rows = threading.Event(), threading.Lock(), set(), 0
         self.violations: dict[str, list] = {}
+        self.tag = f"tablehaul-{uuid.uuid4().hex}"
 
     def emit(self, level: str, message: str, table: str = "", done: int = 0, total: int = 0) -> None:
         """Events are stored before anyone hears of them."""
@@ -105,9 +125,8 @@ class Runner:
                 return 0
             raise
 
-    def converted(self, t: Table, demoted: set[str]) -> DataFrame:
-        """The table as its target holds it, with each row's violations."""
-        df = self.source.read(t.name)
+    def converted(self, t: Table, demoted: set[str], df: DataFrame) -> DataFrame:
+        """Rows of the table as its target holds them, with each row's violations."""
         plans = []
         for c in t.columns:
             labels = ddl.enum_labels(c.type) if ddl.plain_type(c.type) == "enum" and not c.cast else None
@@ -115,11 +134,12 @@ class Runner:
         return V.apply(df, plans)
 
     def move(self, t: Table, demoted: set[str]) -> int:
-        """One table: done tables are counted again, others are loaded whole. Fails closed on any violation."""
+        """One table: done tables are counted again, others are loaded from where they broke off. Fails closed on any violation."""
+        self.spark.sparkContext.addJobTag(self.tag)
         c = self.store.checkpoint(self.session, t.name) or Checkpoint(self.session, t.name)
         if c.status == "done":
             if (n := self.target_rows(t.name)) != c.row_count:
-                c.status, c.error_message = "error", f"{n} rows in the target, {c.row_count} when it was finished"
+                c.status, c.error_message, c.last_offset, c.last_cursor = "error", f"{n} rows in the target, {c.row_count} when it was finished", 0, ""
                 self.store.save(c)
                 raise RuntimeError(f"{t.name}: {c.error_message}")
             return 0
@@ -128,34 +148,54 @@ class Runner:
                 raise Interrupted(t.name)
             if not t.key and c.status not in {"in_progress", "error"} and (held := self.target_rows(t.name)):
                 raise RuntimeError(f"{t.name} has no primary key, and its target holds {held} rows already")
-            total = self.source.read(t.name).count()
+            df = self.source.read(t.name)
+            first, moved = (t.key[0] if t.key and dict(df.dtypes).get(t.key[0]) in CUT else None), 0
+            after = decode(c.last_cursor) if first and c.status != "pending" and c.last_offset else None
+            if after is None:
+                c.last_offset, c.last_cursor = 0, ""
+                load.clear(self.spark, self.path(t.name))
+            rest = df.filter(range_predicate(first, after[0], None)) if after else df
+            seen = rest.agg(F.count(F.lit(1)).alias("n"), (F.max(F.struct(*(F.col(f"`{k}`") for k in t.key))) if t.key else F.lit(None)).alias("last")).first()
+            total = c.last_offset + seen.n
             c.status, c.row_count, c.batch_size = "in_progress", total, self.options.batch
             self.store.save(c)
-            checked = self.converted(t, demoted)
-            if found := V.violation_counts(checked).orderBy("column", "reason").collect():  # a row for each column and reason
+            if found := V.violation_counts(self.converted(t, demoted, rest)).orderBy("column", "reason").collect():  # a row for each column and reason
                 self.violations[t.name] = found
                 raise ValueError(f"{t.name}: " + "; ".join(f"{r.column}: {r.reason} ({r.n} rows)" for r in found))
-            types = {x.name: target_type(x, "enum", x.name in demoted) for x in t.columns}
-            out = checked.drop("violations")
-            cast = {n: spark_type(ty) for n, ty in types.items() if spark_type(ty).simpleString().startswith("decimal") and dict(out.dtypes)[n] == "string"}
-            out = out.withColumns({n: out[n].cast(ty) for n, ty in cast.items()}) if cast else out
-            n = load.load_batch(self.spark, out, self.path(t.name), 0)
-            if n != total or (here := self.target_rows(t.name)) != total:
-                raise RuntimeError(f"{t.name}: {total} rows in the source, {n} loaded, {here if n == total else '?'} in the target")
-            key = last_key(out, t.key).first() if t.key and total else None
-            c.last_cursor = encode(list(key)) if key else ""
-            c.status, c.last_offset, c.error_message = "done", total, ""
+            parts = min(self.options.ranges, -(-seen.n // self.options.batch)) if first else 1
+            for low, high in key_ranges(rest, first, parts) if parts > 1 else [(None, None)]:
+                if self.stop.is_set():
+                    raise Interrupted(t.name)
+                part = rest if low is None and high is None else rest.filter(range_predicate(first, low, high))
+                n = load.load_batch(self.spark, self.shaped(t, demoted, part), self.path(t.name), c.last_offset)
+                c.last_offset, moved = c.last_offset + n, moved + n
+                c.last_cursor = cursor([high]) if high is not None else cursor(list(seen["last"])) if seen["last"] else c.last_cursor
+                self.store.save(c)
+                with self.lock:
+                    self.rows += n
+                self.emit("progress", progress(c.last_offset, total), t.name, c.last_offset, total)
+            if c.last_offset != total or (here := self.target_rows(t.name)) != total:
+                counted = f"{total} rows in the source, {c.last_offset} loaded, {here if c.last_offset == total else '?'} in the target"
+                c.last_offset, c.last_cursor = 0, ""
+                raise RuntimeError(f"{t.name}: {counted}")
+            c.status, c.error_message = "done", ""
             self.store.save(c)
-            with self.lock:
-                self.rows += n
-            self.emit("progress", progress(n, total), t.name, n, total)
-            return n
+            return moved
         except Interrupted:
             raise
         except Exception as e:
             c.status, c.error_message = "error", str(e)[:1000]
             self.store.save(c)
             raise
+        finally:
+            self.spark.sparkContext.removeJobTag(self.tag)
+
+    def shaped(self, t: Table, demoted: set[str], df: DataFrame) -> DataFrame:
+        """Converted rows without their violations, decimals as such."""
+        out = self.converted(t, demoted, df).drop("violations")
+        types = {x.name: spark_type(target_type(x, "enum", x.name in demoted)) for x in t.columns}
+        cast = {n: ty for n, ty in types.items() if ty.simpleString().startswith("decimal") and dict(out.dtypes)[n] == "string"}
+        return out.withColumns({n: out[n].cast(ty) for n, ty in cast.items()}) if cast else out
 
     def objects(self, plan: list[tuple[Table, set[str]]]) -> list[dict]:
         """Unique indexes and foreign keys checked on the moved data; errors are gathered, not raised one by one."""
@@ -193,6 +233,7 @@ class Runner:
                         self.stop.set()
                         for j in jobs:
                             j.cancel()
+                        self.spark.sparkContext.cancelJobsWithTag(self.tag)
                         raise failed.exception()
                 if self.source.version() != version:
                     raise RuntimeError("the source changed during the run")

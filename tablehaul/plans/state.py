@@ -94,6 +94,10 @@ class Store:
     def events_after(self, sid: str, last_id: int = 0, n: int = 500) -> list[dict]:
         return [dict(r) for r in self._do("SELECT * FROM session_events WHERE session_id = ? AND id > ? ORDER BY id LIMIT ?", sid, last_id, n)]
 
+    def last_events(self, sid: str, n: int) -> list[dict]:
+        """The newest ``n``, oldest first."""
+        return [dict(r) for r in self._do("SELECT * FROM session_events WHERE session_id = ? ORDER BY id DESC LIMIT ?", sid, n)][::-1]
+
     def last_event(self, sid: str) -> dict | None:
         return next((dict(r) for r in self._do("SELECT * FROM session_events WHERE session_id = ? ORDER BY id DESC LIMIT 1", sid)), None)
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import contextlib
 import json
 import uuid
 
@@ -13,6 +14,8 @@ from ..functions.typemap import sequence_state, target_type
 from ..model import Column, Manual, Table
 from ..operators import groups, integrity, keyset, load, profile, rollup, selection
 from ..plans import planner
+from ..plans.runner import Options, Runner
+from ..plans.state import Store
 from ..sources.tables import FOREIGN, KEYS, ParquetSource, read
 
 QUERIES: dict = {}
@@ -73,7 +76,8 @@ CATALOG_SQL = ", ".join(f"('{t}', {len(k)})" for t, k in sorted(KEYS.items()))
 
 @query("s6_list_tables", f"SELECT t table_name, CAST(k AS INT) key_columns, CAST(k > 0 AS BOOLEAN) resumable FROM (VALUES {CATALOG_SQL}) v(t, k)")
 def s6(spark, d):
-    return spark.createDataFrame([(t, len(k), bool(k)) for t, k in sorted(KEYS.items())], "table_name string, key_columns int, resumable boolean")
+    src = ParquetSource(spark, d)  # a row for each table that the folder holds
+    return spark.createDataFrame([(t, len(src.keys.get(t, ())), bool(src.keys.get(t))) for t in src.list_tables()], "table_name string, key_columns int, resumable boolean")
 
 
 @query("s7_column_catalog", None)
@@ -499,6 +503,31 @@ def k6(spark, d):
     return spark.read.parquet(path).agg(F.count("*").alias("n_rows"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("total"))
 
 
+class _Breaks(Exception):
+    pass
+
+
+@query("x4_resumed_copy", "SELECT count(*) n_rows, count(DISTINCT o_orderkey) n_keys, CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DECIMAL(28, 2)) total, TRUE broke, TRUE resumed FROM orders")
+def x4(spark, d):
+    """A run that breaks off after two ranges of the key, then goes on in the same session: what the target holds at the end."""
+    target, store, seen = f"{load.shared_dir(spark)}/resumed-{uuid.uuid4().hex}", Store(), []
+
+    def sink(event):
+        seen.append(event["message"])
+        if len(seen) == 2:
+            raise _Breaks
+
+    source = ParquetSource(spark, d, ["orders"], {"orders": ("o_orderkey",)}, [])
+    with contextlib.suppress(_Breaks):
+        Runner(spark, source, target, store, "s", Options(batch=100, ranges=5, sink=sink)).start()
+    held = store.checkpoint("s", "orders")
+    moved = Runner(spark, source, target, store, "s", Options(batch=100, ranges=5)).start()["rows"]
+    resumed = moved + held.last_offset == held.row_count and 0 < moved < held.row_count
+    out = spark.read.parquet(f"{target}/orders")
+    total = F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("decimal(28,2)").alias("total")
+    return out.agg(F.count("*").alias("n_rows"), F.countDistinct("o_orderkey").alias("n_keys"), total).withColumns({"broke": F.lit(held.status == "error"), "resumed": F.lit(resumed)})
+
+
 @query("x3_replay_equivalence", "SELECT CAST(0 AS BIGINT) n_diff, count(*) n_rows FROM orders")
 def x3(spark, d):
     """A batch applied twice gives the source again: rows by which the two differ, either way."""

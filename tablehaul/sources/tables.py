@@ -27,17 +27,27 @@ def read(spark: SparkSession, base: str, table: str) -> DataFrame:
 
 
 class ParquetSource:
-    """An immutable folder: every read sees the same rows, so all tables share one snapshot."""
+    """An immutable folder: every read sees the same rows, so all tables share one snapshot.
+
+    Without ``tables`` it has those it is found to hold. Parquet declares no keys: what ``keys`` leaves out has none.
+    """
 
     def __init__(self, spark: SparkSession, base: str, tables: list[str] | None = None, keys: dict | None = None, foreign: list[ForeignKey] | None = None):
         self.spark, self.base = spark, base
         self.keys = KEYS if keys is None else keys
         self.foreign = FOREIGN if foreign is None else foreign
-        self.names = sorted(tables or self.keys)
+        self.names = sorted(tables or self.found())
 
     def read(self, table: str) -> DataFrame:
         return read(self.spark, self.base, table)
 
+    def found(self) -> list[str]:
+        """Names of the folder's Parquet files and folders, through Hadoop's file systems."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        fs = path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        names = (f.getPath().getName() for f in fs.listStatus(path))
+        return [n.removesuffix(".parquet") for n in names if n.endswith(".parquet")]
+
     def list_tables(self) -> list[str]:
         return self.names
 

@@ -259,3 +259,47 @@ def test_null_keys_belong_to_the_first_range(spark):
     ranges = keyset.key_ranges(df, "k", 4)
     assert len(ranges) > 1 and sum(df.filter(keyset.range_predicate("k", *r)).count() for r in ranges) == 51
     assert jdbc.range_predicates("k", [(None, 5), (5, None)], "`") == ["(`k` <= 5 OR `k` IS NULL)", "`k` > 5"]
+
+
+class Break(Exception):
+    pass
+
+
+def test_a_run_goes_on_after_its_last_range(spark, tmp_path):
+    store, names = Store(), ["conversations", "customer"]
+    src = ParquetSource(spark, SF, names, {t: KEYS[t] for t in names}, [])
+    seen = []
+
+    def sink(e):
+        seen.append(e["message"])
+        if len(seen) == 3:
+            raise Break
+
+    options = {"batch": 20, "ranges": 4, "workers": 1}
+    with pytest.raises(Break):
+        Runner(spark, src, str(tmp_path), store, "a", Options(**options, sink=sink)).start()
+    held = store.checkpoint("a", "conversations")
+    assert held.status == "error" and 0 < held.last_offset < held.row_count and held.last_cursor
+    assert spark.read.parquet(str(tmp_path / "conversations")).count() == held.last_offset
+    # a batch whose end was not saved: its files go by the same number, and are replaced
+    load.load_batch(spark, read(spark, SF, "conversations").limit(7), str(tmp_path / "conversations"), held.last_offset)
+    out = Runner(spark, src, str(tmp_path), store, "a", Options(**options)).start()
+    assert out["rows"] == held.row_count - held.last_offset + read(spark, SF, "customer").count()
+    for t in names:
+        assert load.checksum(spark.read.parquet(str(tmp_path / t))).collect() == load.checksum(read(spark, SF, t)).collect()
+    spark.read.parquet(str(tmp_path / "customer")).limit(3).write.mode("append").parquet(str(tmp_path / "customer"))
+    with pytest.raises(RuntimeError, match="finished"):
+        Runner(spark, src, str(tmp_path), store, "a", Options(**options)).start()
+
+
+def test_tables_whose_keys_make_no_ranges(spark, tmp_path):
+    base = f"{tmp_path}/in"
+    spark.createDataFrame([(f"k{i}", i) for i in range(40)], "k string, n int").write.parquet(f"{base}/words.parquet")
+    spark.createDataFrame([(None, 1), (2, 2), (2, 3)], "k int, n int").write.parquet(f"{base}/nulls.parquet")
+    spark.createDataFrame([], "k int, n int").write.parquet(f"{base}/void.parquet")
+    src = ParquetSource(spark, base, keys={"words": ("k",), "nulls": ("k", "n"), "void": ("k",)})
+    assert src.list_tables() == ["nulls", "void", "words"]
+    out = Runner(spark, src, str(tmp_path / "t"), Store(), "a", Options(batch=1, ranges=3)).start()
+    assert out["rows"] == 43
+    for t in src.list_tables():
+        assert load.checksum(spark.read.parquet(str(tmp_path / "t" / t))).collect() == load.checksum(src.read(t)).collect()
