@@ -17,7 +17,9 @@ def parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command", required=True)
     for name in ("session", "dry-run"):
         s = sub.add_parser(name)
-        s.add_argument("source")
+        s.add_argument("source", help="a folder of Parquet tables, or a jdbc: URL")
+        s.add_argument("--driver", help="a JDBC driver's class")
+        s.add_argument("--schema", help="the schema (MySQL: database) of a jdbc: URL")
         s.add_argument("--include", nargs="*")
         s.add_argument("--exclude", nargs="*")
         s.add_argument("--key", action="append", default=[], help="TABLE=COLUMN,COLUMN: a table's primary key; the fixtures' keys hold if none is given")
@@ -55,11 +57,13 @@ def main(args: list[str] | None = None) -> int:
         return 0
     from pyspark.sql import SparkSession
 
+    from .sources.jdbc import JdbcSource
     from .sources.tables import ParquetSource
 
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     keys = {t: tuple(cols.split(",")) for t, _, cols in (k.partition("=") for k in a.key)}
-    source, chosen = ParquetSource(spark, a.source, keys=keys or None), TableFilter(a.include, a.exclude)
+    source = JdbcSource(spark, a.source, a.driver, schema=a.schema) if a.source.startswith("jdbc:") else ParquetSource(spark, a.source, keys=keys or None)
+    chosen = TableFilter(a.include, a.exclude)
     if a.command == "dry-run":
         report = dry_run(source.tables(), source.read, chosen)
         print(render(report))

@@ -303,3 +303,27 @@ def test_tables_whose_keys_make_no_ranges(spark, tmp_path):
     assert out["rows"] == 43
     for t in src.list_tables():
         assert load.checksum(spark.read.parquet(str(tmp_path / "t" / t))).collect() == load.checksum(src.read(t)).collect()
+
+
+def test_a_database_as_source(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/src;create=true"
+    c = spark._jvm.java.sql.DriverManager.getConnection(url)
+    s = c.createStatement()
+    for sql in (
+        "CREATE TABLE SHELF (AISLE INT NOT NULL, SPOT INT NOT NULL, LABEL VARCHAR(20), PRIMARY KEY (AISLE, SPOT))",
+        """CREATE TABLE "Box" (ID BIGINT NOT NULL GENERATED BY DEFAULT AS IDENTITY PRIMARY KEY, AISLE INT, SPOT INT, KG DECIMAL(9,3), TAG VARCHAR(9) DEFAULT 'x', CONSTRAINT HOME FOREIGN KEY (AISLE, SPOT) REFERENCES SHELF (AISLE, SPOT) ON DELETE CASCADE)""",
+        'CREATE UNIQUE INDEX BY_TAG ON "Box" (TAG, KG DESC)', 'CREATE TABLE "Box_Log" (NOTE VARCHAR(50))',
+        "INSERT INTO SHELF VALUES (1, 1, 'low'), (1, 2, NULL), (2, 1, 'high')", """INSERT INTO "Box" (AISLE, SPOT, KG, TAG) VALUES (1, 1, 0.5, 'a'), (1, 2, 12.125, 'b'), (NULL, NULL, NULL, 'c')""",
+    ):
+        s.execute(sql)
+    c.close()
+    src = jdbc.JdbcSource(spark, url, "org.apache.derby.jdbc.EmbeddedDriver", schema="APP")
+    box, log, shelf = src.tables()
+    assert (box.name, box.key, log.key, shelf.key) == ("Box", ("ID",), (), ("AISLE", "SPOT"))
+    assert [(c.name, c.type, c.nullable, c.extra) for c in box.columns] == [("ID", "bigint", False, "auto_increment"), ("AISLE", "int", True, ""), ("SPOT", "int", True, ""), ("KG", "decimal(9,3)", True, ""), ("TAG", "varchar(9)", True, "")]
+    assert box.foreign_keys == (ForeignKey("HOME", "Box", ("AISLE", "SPOT"), "SHELF", ("AISLE", "SPOT"), "CASCADE"),)
+    assert box.indexes == (Index("BY_TAG", (("TAG", None, False), ("KG", None, True)), True),) and not shelf.indexes
+    out = Runner(spark, src, str(tmp_path / "t"), Store(), "a", Options(batch=1, ranges=2)).start()
+    assert out["rows"] == 6 and {o["object"]: o["verdict"] for o in out["objects"]} == {"HOME": "create"}
+    assert load.checksum(spark.read.parquet(str(tmp_path / "t" / "Box"))).collect() == load.checksum(src.read("Box")).collect()
+    assert planner.dry_run(src.tables(), src.read).issues == 0
