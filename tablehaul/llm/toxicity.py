@@ -42,7 +42,7 @@ from .common import crc32_mod, lean, slices, trim
 
 PER_CLASS = 4000
 K, NEAR, BLOCK, EVIDENCE = 30, 0.05, 128, 3
-HEAD, TEXTS = 25, 64
+HEAD, TEXTS = 25, 256
 WORD = re.compile("([\u2e80-\U0010ffff]\\w*|\\w{1,5})\\w*")  # what stems() reads of a word
 
 
