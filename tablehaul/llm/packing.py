@@ -14,7 +14,7 @@ packs the same again.
 A sequence at a power of two needs no padding by the contract; the cuts never aim at that.
 
 Tokens: a chunk between white spaces always gives the same ids, so ids of chunks seen are kept (``CACHE`` of them at
-most) and only new chunks go through the tokenizer. ``ids_of`` equals encoding the whole text, which a test holds it to.
+most) and only new chunks go through the tokenizer, plain words once whatever their case and marks. ``ids_of`` equals encoding the whole text, which a test holds it to.
 
 Defined results: a null or empty text is the end token alone; repeated rows are packed each; a null doc_id stays null;
 other columns are ignored; an empty table gives no rows.
@@ -41,6 +41,8 @@ CACHE = 1_200_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: White space to Python's split, but not to the tokenizer.
 ODD = re.compile("[\x1c-\x1f]")
+#: Words whose ids are those of the small letters and those of the marks: the tokenizer folds case and parts letters from marks.
+PLAIN = re.compile("([A-Za-z]+)([.,;:!?]*)")
 _made: dict[str, Encoder] = {}
 
 
@@ -62,26 +64,35 @@ class Encoder:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, chunks: list[str]) -> None:
-        """Ids of new chunks, many in one call."""
-        if len(self.seen) + len(chunks) > CACHE:
-            self.seen.clear()
-        for i in range(0, len(chunks), 4096):
-            part = chunks[i : i + 4096]
+        """Ids of new chunks, many in one call. Words with the same letters are encoded once."""
+        seen, split, new = self.seen, [], {}
+        for c in chunks:
+            if m := PLAIN.fullmatch(c):
+                word, tail = m[1].lower(), m[2]
+                split.append((c, word, tail))
+                for x in (word, tail):
+                    if x not in seen:
+                        new[x] = None
+            else:
+                new[c] = None
+        todo = list(new)
+        for i in range(0, len(todo), 4096):
+            part = todo[i : i + 4096]
             for c, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.seen[c] = array("I", e.ids).tobytes()
+                seen[c] = array("I", e.ids).tobytes()
+        for c, word, tail in split:
+            seen[c] = seen[word] + seen[tail]
 
     def ids_of(self, text: str) -> bytes:
         if ODD.search(text):
             return self.direct(text)
         chunks = text.split()
-        try:
-            return b"".join([self.seen[c] for c in chunks])
-        except KeyError:
-            distinct = dict.fromkeys(chunks)
-            self.learn([c for c in distinct if c not in self.seen])
-            if any(c not in self.seen for c in distinct):  # learning emptied the store of what this text had in it
-                self.learn(list(distinct))
-            return b"".join([self.seen[c] for c in chunks])
+        if new := set(chunks).difference(self.seen):
+            if len(self.seen) + 3 * len(new) > CACHE:
+                self.seen.clear()
+                new = set(chunks)
+            self.learn(list(new))
+        return b"".join(map(self.seen.__getitem__, chunks))
 
 
 def encoder(path: str) -> Encoder:

@@ -77,3 +77,21 @@ def test_small_blocks_and_edges(spark):
     twice = packing.pack(df.union(df.filter("doc_id = 0")).coalesce(1), TOK).filter("doc_id = 0").count()
     assert twice == 2
     assert packing.pack(spark.createDataFrame([(None, "x")], "doc_id long, text string"), TOK).first().doc_id is None
+
+
+def test_words_of_the_same_letters_are_encoded_once():
+    e = packing.Encoder(P.path("word_bpe_49k.json"))
+    text = "Word word, WORD. word?! wordy Wordy; it's IT'S. it é. É, n1 N1, ... a.b A.B"
+    assert e.ids_of(text) == e.direct(text)
+    sent = []
+
+    class Counting:
+        def encode_batch_fast(self, part, add_special_tokens):
+            sent.extend(part)
+            return tok.encode_batch_fast(part, add_special_tokens=add_special_tokens)
+
+    tok, e.tok = e.tok, Counting()
+    more = "Other, other. OTHER! other; Word: wordy!"
+    got = e.ids_of(more)
+    e.tok = tok
+    assert got == e.direct(more) and sorted(x for x in sent if x.isalpha()) == ["other"]
