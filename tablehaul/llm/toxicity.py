@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, lean, slices, trim
+from .common import crc32_mod, lean, settle, slices, trim
 
 PER_CLASS = 4000
 K, NEAR, BLOCK, EVIDENCE = 30, 0.05, 128, 3
@@ -321,7 +321,9 @@ def train(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, p
     if not known:
         empty.bare = totals[1] / (totals[0] + totals[1])
         return empty, {}
+    settle(spark)
     total, df = document_frequencies(corpus if corpus is not None else docs, known)
+    settle(spark)
     idf = np.array([math.log((1 + total) / (0.5 + df.get(i, 0))) ** 2 for i in range(len(known))])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -95,3 +95,11 @@ def test_head_and_postings_give_the_exact_nearest():
         exact = w @ m[f]
         got, sims = index.nearest(f, w, 10, base=base)
         assert np.allclose(np.sort(exact[exact > 0])[::-1][:10], sims) and np.allclose(exact[got], sims)
+
+
+def test_the_driver_gives_memory_back_while_it_trains(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(toxicity, "settle", lambda s: calls.append(s), raising=False)
+    docs = spark.createDataFrame([(i, f"word{i % 7} other text") for i in range(40)], "doc_id long, text string")
+    toxicity.train(docs, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int"))
+    assert len(calls) == 2
