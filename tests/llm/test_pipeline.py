@@ -1,7 +1,7 @@
 import numpy as np
 
 import corpus_pipeline as cp
-from tablehaul.llm import decontaminate, jaccard, packing, pii, toxicity
+from tablehaul.llm import common, decontaminate, jaccard, packing, pii, toxicity
 from tablehaul.llm.common import staged
 
 from .test_jaccard import brute
@@ -40,3 +40,12 @@ def test_empty_table(spark, tmp_path):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert cp.run(spark, str(tmp_path)).count() == 0
     assert jaccard.keep_one(spark.read.parquet(str(tmp_path / "documents.parquet"))).count() == 0
+
+
+def test_executors_collect_their_garbage(spark):
+    beans = lambda: spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = full()
+    common.settle_executors(spark)  # here the driver is the executor
+    assert full() > before
+    common.settle(spark)
