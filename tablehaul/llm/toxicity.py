@@ -5,13 +5,13 @@
    pairs of letters in scripts without spaces. None is left out; common ones weigh little.
 3. Document frequencies of these features are counted over all documents. A feature weighs its count times the square
    of its IDF, which says more than plain IDF in texts full of function words.
-4. The examples' unit vectors form an inverted index: postings (example, weight) by feature and block of ``BLOCK``
-   examples, each with its largest weight. Features that more than one in ``HEAD`` examples hold have no postings but a
+4. The examples' unit vectors form an inverted index: postings (example, weight) by feature and block of examples
+   (``BLOCK`` of them, or as many times ``BLOCK`` as leave ``BLOCKS`` blocks), with the largest weight of each. Features that more than one in ``HEAD`` examples hold have no postings but a
    column of a matrix, which is multiplied by ``TEXTS`` documents at once, in single precision; whatever may be
    among the nearest by that is computed again in double. What a block's examples have from there, and
    a document's vector times the maxima, bound what a block can offer; the k-th best of what the matrix alone gives
-   bounds the k-th best cosine from below. Blocks that reach it are opened: the exact k nearest. Like examples share
-   blocks, which keeps the bounds of other blocks low.
+   bounds the k-th best cosine from below. Blocks from the first to the last that reach it are opened, so a feature's
+   postings are one stretch: the exact k nearest. Like examples share blocks or lie in neighbours, which keeps the bounds of other blocks low.
 5. Neighbours vote with weight 1 / (distance + ``NEAR``), class sizes set right; votes pass an isotonic curve fitted on
    leave-one-out votes of the examples, interpolated between the middles of its steps. A document that shares no feature with any example gets the rate that
    holds for such examples. Evidence: the nearest examples and their cosines.
@@ -42,8 +42,10 @@ from .common import crc32_mod, lean, settle, slices, trim
 
 PER_CLASS = 4000
 K, NEAR, BLOCK, EVIDENCE = 30, 0.05, 128, 3
-HEAD, TEXTS = 25, 256
+HEAD, TEXTS, BLOCKS = 25, 256, 16
+AT_ONCE = 1 << 16  # words whose features are counted at once, one text's at least
 WORD = re.compile("([\u2e80-\U0010ffff]\\w*|\\w{1,5})\\w*")  # what stems() reads of a word
+LATIN = bytes(i if WORD.match(chr(i)) else 32 for i in range(256))  # Latin-1, with blanks for what no word holds
 
 
 def stems(word: str) -> tuple[str, ...]:
@@ -66,15 +68,38 @@ class Words(dict):
         return n
 
 
+def heads(text: str) -> list[str]:
+    """``WORD.findall`` of the lower-cased text; in Latin-1 by a table and a split, which are faster."""
+    text = text.lower()
+    try:
+        plain = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return WORD.findall(text)
+    return [w[:5] for w in plain.translate(LATIN).decode("latin-1").split()]
+
+
 def counts(texts: list[str | None], known: dict[str, int], seen: dict) -> list[tuple[np.ndarray, np.ndarray]]:
     """Of each text its known features, rising, and how often each occurs. ``seen`` keeps what words gave, and begins
     anew when it is large."""
     words = seen.get("words")
     if words is None or len(words) > 100_000:
         words = seen["words"] = Words(known)
-    ids = [np.fromiter(map(words.__getitem__, WORD.findall(t.lower())), np.int64) if t else np.zeros(0, np.int64) for t in texts]
+    ids = [np.fromiter(map(words.__getitem__, heads(t)), np.int64) if t else np.zeros(0, np.int64) for t in texts]
     first, features = np.array(words.first), np.array(words.features, np.int64)
-    return [np.unique(features[ranges(first[i], first[i + 1])], return_counts=True) for i in ids]
+    group = np.cumsum([len(i) for i in ids]) // AT_ONCE
+    out = []
+    for part in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(group)) + 1):  # a text that reaches the next multiple begins a part
+        mine = [ids[i] for i in part]
+        word = np.concatenate(mine) if mine else np.zeros(0, np.int64)
+        start, end = first[word], first[word + 1]
+        text = np.repeat(np.arange(len(mine)) << 32, np.array([len(i) for i in mine], np.int64))
+        both = np.sort(np.repeat(text, end - start) | features[ranges(start, end)])
+        at = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(both) else np.zeros(0, np.int64)
+        n, both = np.diff(np.append(at, len(both))), both[at]
+        cut = np.searchsorted(both, np.arange(len(mine) + 1) << 32).tolist()
+        f = both & 0xFFFFFFFF
+        out += [(f[a:b], n[a:b]) for a, b in zip(cut, cut[1:])]
+    return out
 
 
 def ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -91,12 +116,8 @@ class Index:
     ids: np.ndarray
     labels: np.ndarray
     weights: np.ndarray  # of each example, by class
-    first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # of each feature: its first list, one more at the end
-    block: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # of each list: its block
-    top: np.ndarray = field(default_factory=lambda: np.zeros(0))  # of each list: its largest weight
-    start: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # of each list: its first posting, one more at the end
-    example: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # of each feature: its first posting, one more at the end
+    postings: np.ndarray = field(default_factory=lambda: np.zeros(0, complex))  # example + weight * i, so that one copy moves both
     head: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # features of the matrix
     place: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # of each feature: its column, or -1
     common: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))  # examples x head
@@ -104,46 +125,80 @@ class Index:
     bare: float = 0.0  # score without any shared feature
     opened: int = 0
 
+    def __post_init__(self) -> None:
+        self.bound()
+
     def __getstate__(self) -> dict:
-        """The matrix travels without its zeros."""
+        """The matrix travels without its zeros, and what follows from the postings not at all."""
         at = np.nonzero(self.common)
-        return self.__dict__ | {"common": (self.common.shape, *(x.astype(np.int32) for x in at), self.common[at])}
+        state = self.__dict__ | {"common": (self.common.shape, *(x.astype(np.int32) for x in at), self.common[at])}
+        return {k: v for k, v in state.items() if k not in ("top", "at")}
 
     def __setstate__(self, state: dict) -> None:
         shape, i, j, w = state["common"]
         self.__dict__ = state | {"common": np.zeros(shape, np.float32)}
         self.common[i, j] = w
+        self.bound()
+
+    @property
+    def size(self) -> int:
+        """Examples in a block."""
+        return BLOCK * max(1, -(-len(self.ids) // (BLOCK * BLOCKS)))
 
     @property
     def blocks(self) -> int:
-        return max(1, -(-len(self.ids) // BLOCK))
+        return max(1, -(-len(self.ids) // self.size))
+
+    @property
+    def example(self) -> np.ndarray:
+        return self.postings.real.astype(np.int64)
+
+    @property
+    def weight(self) -> np.ndarray:
+        return self.postings.imag
+
+    def features(self) -> np.ndarray:
+        """Of each posting its feature."""
+        return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
     @property
     def dense(self) -> list[np.ndarray]:
         """The same vectors by block as features x examples; for small indexes."""
-        m = np.zeros((len(self.idf), self.blocks * BLOCK))
-        m[np.repeat(np.repeat(np.arange(len(self.idf)), np.diff(self.first)), np.diff(self.start)), self.example] = self.weight
+        m = np.zeros((len(self.idf), self.blocks * self.size))
+        m[self.features(), self.example] = self.weight
         m[self.head, : len(self.ids)] = self.common.T
-        return [m[:, i : i + BLOCK] for i in range(0, m.shape[1], BLOCK)]
+        return [m[:, i : i + self.size] for i in range(0, m.shape[1], self.size)]
+
+    def bound(self) -> None:
+        """``top``: the largest weight of each feature and block, rounded up; ``at``: the first posting of both, one more at the end."""
+        n = (len(self.first) - 1) * self.blocks
+        key = self.features() * self.blocks + self.example // self.size
+        self.at = np.append(0, np.cumsum(np.bincount(key, minlength=n))).astype(np.int32)
+        self.top = np.zeros((len(self.first) - 1, self.blocks), np.float32)
+        if len(key):
+            new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            self.top.ravel()[key[new]] = np.nextafter(np.maximum.reduceat(self.weight, new).astype(np.float32), np.float32(np.inf))
 
     def post(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
         f = np.concatenate([f for f, _ in vectors]) if vectors else np.zeros(0, np.int64)
-        ex = np.repeat(np.arange(len(vectors)), [len(f) for f, _ in vectors])
+        ex = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(f) for f, _ in vectors])
         order = np.argsort(f, kind="stable")
         f, ex = f[order], ex[order]
         w = np.concatenate([w for _, w in vectors])[order] if vectors else np.zeros(0)
+        del order
         self.head = np.flatnonzero(np.bincount(f, minlength=len(self.idf)) * HEAD > len(vectors))
         self.place = np.full(len(self.idf), -1)
         self.place[self.head] = np.arange(len(self.head))
         self.common = np.zeros((len(vectors), len(self.head)), np.float32)
         col = self.place[f]
-        self.common[ex[col >= 0], col[col >= 0]] = w[col >= 0]
-        f, self.example, self.weight = f[col < 0], ex[col < 0], w[col < 0]
-        b = self.example // BLOCK
-        head = np.flatnonzero(np.r_[True, (f[1:] != f[:-1]) | (b[1:] != b[:-1])]) if len(f) else np.zeros(0, np.int64)
-        self.start = np.append(head, len(f))
-        self.block, self.top = b[head], np.maximum.reduceat(self.weight, head) if len(f) else np.zeros(0)
-        self.first = np.searchsorted(f[head], np.arange(len(self.idf) + 1))
+        held = col >= 0
+        self.common[ex[held], col[held]] = w[held]
+        del col
+        self.postings = np.empty(len(f) - int(held.sum()), complex)
+        self.postings.real, self.postings.imag = ex[~held], w[~held]
+        self.first = np.searchsorted(f[~held], np.arange(len(self.idf) + 1))
+        del f, ex, w, held
+        self.bound()
 
     def vector(self, tf: Counter) -> tuple[np.ndarray, np.ndarray]:
         f = np.array(sorted(tf), int)
@@ -153,15 +208,13 @@ class Index:
         w = n * self.idf[f]
         return f, w / np.linalg.norm(w) if len(f) else w
 
-    def dense_head(self, f: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """A vector's weights in the matrix's features."""
-        q, col = np.zeros(len(self.head)), self.place[f]
-        q[col[col >= 0]] = w[col >= 0]
-        return q
-
     def from_head(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """What the examples share with each vector in the matrix's features, in single precision."""
-        return np.array([self.dense_head(f, w) for f, w in vectors], np.float32).reshape(len(vectors), -1) @ self.common.T
+        q = np.zeros((len(vectors), len(self.head)), np.float32)
+        for row, (f, w) in zip(q, vectors, strict=True):
+            col = self.place[f]
+            row[col[col >= 0]] = w[col >= 0]
+        return q @ self.common.T
 
     def nearest(self, f: np.ndarray, w: np.ndarray, k: int = K, skip: int = -1, base: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) above 0, best first, ties to the earlier example. Exact. ``base``: the vector's row of from_head."""
@@ -170,24 +223,26 @@ class Index:
         base = (self.from_head([(f, w)])[0] if base is None else base).astype(float)
         if skip >= 0:
             base[skip] = 0
-        lists = ranges(self.first[f], self.first[f + 1])
-        each = np.repeat(w, self.first[f + 1] - self.first[f])
-        blocks = self.block[lists]
-        bounds = np.bincount(blocks, each * self.top[lists], self.blocks) + np.maximum.reduceat(base, np.arange(0, len(base), BLOCK))
+        col = self.place[f]
+        rare, held = col < 0, col >= 0
+        g, v = f[rare], w[rare]
+        reach = v @ self.top[g]
         off = (2 + len(self.head)) * 2.0**-23  # more than single precision can be off by, for unit vectors
         low = np.partition(base, -k)[-k] if len(base) >= k else 0.0  # the k-th best cosine is this at least
-        chosen = bounds >= low - 2 * off
-        self.opened += int(chosen.sum())
-        mine = np.flatnonzero(chosen[blocks])
-        a, b = self.start[lists[mine]], self.start[lists[mine] + 1]
-        at = ranges(a, b)
-        tail = np.bincount(self.example[at], np.repeat(each[mine], b - a) * self.weight[at], len(self.ids))
+        chosen = np.flatnonzero((reach > 0) & (reach + np.maximum.reduceat(base, np.arange(0, len(base), self.size)) >= low - 2 * off))
+        tail = np.zeros(len(base))
+        if len(chosen):
+            a, b = self.at[g * self.blocks + chosen[0]], self.at[g * self.blocks + chosen[-1] + 1]
+            self.opened += int(chosen[-1] - chosen[0] + 1)
+            found = np.concatenate([self.postings[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)])
+            tail = np.bincount(found.real.astype(np.int64), np.repeat(v, b - a) * found.imag, len(base))
         s = tail + base
-        low = np.partition(s, -k)[-k] if len(s) >= k else 0.0
-        got = np.flatnonzero((s > 0) & (s >= low - 2 * off))
+        got = np.flatnonzero(s >= low - 2 * off)
+        low = np.partition(s[got], -k)[-k] if len(got) >= k else 0.0
+        got = got[(s[got] > 0) & (s[got] >= low - 2 * off)]
         if skip >= 0:
             got = got[got != skip]
-        sims = tail[got] + self.common[got].astype(float) @ self.dense_head(f, w)
+        sims = tail[got] + (self.common[got].take(col[held], 1) * w[held]).sum(1)
         best = np.lexsort((got, -sims))[:k]
         best = best[sims[best] > 0]
         return got[best], sims[best]
@@ -288,8 +343,7 @@ def document_frequencies(docs: DataFrame, known: dict[str, int]) -> tuple[int, d
             total += b.num_rows
             texts = b.column(0).to_pylist()
             for i in range(0, len(texts), TEXTS):
-                for f, _ in counts(texts[i : i + TEXTS], known, seen):
-                    df[f] += 1
+                df += np.bincount(np.concatenate([f for f, _ in counts(texts[i : i + TEXTS], known, seen)]), minlength=len(known))
         f = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(f, -1)), pa.array(np.append(df[f], total))], ["f", "n"])
 

@@ -103,3 +103,41 @@ def test_the_driver_gives_memory_back_while_it_trains(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"word{i % 7} other text") for i in range(40)], "doc_id long, text string")
     toxicity.train(docs, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int"))
     assert len(calls) == 2
+
+
+def test_latin_words_are_cut_without_the_pattern(monkeypatch):
+    odd = ["x²y ª_ß é\xa0b\x85c\x1cd µ ÿ÷×½¾ İ", "Straße, NAÏVE l'été! 12_ab " * 3, "Σ ΑΣ ﬁn 漢字かな 中 word", "".join(map(chr, range(1, 400))), ""]
+    want = [toxicity.WORD.findall(t.lower()) for t in odd]
+    assert [toxicity.heads(t) for t in odd] == want
+    asked = []
+
+    class Counting:
+        def findall(self, text):
+            asked.append(text)
+            return []
+
+    monkeypatch.setattr(toxicity, "WORD", Counting())
+    known = {s: i for i, s in enumerate(("nave", "naïv", "naïve", "word", "words"))}
+    got = toxicity.counts(["Words, WORD naïve wordy", None, "", "naïvely \xa0 nothing"] * 30, known, {})
+    assert not asked
+    assert [(f.tolist(), n.tolist()) for f, n in got] == [([1, 2, 3, 4], [1, 1, 3, 1]), ([], []), ([], []), ([1, 2], [1, 1])] * 30
+
+
+def test_texts_counted_in_parts_give_the_same(monkeypatch):
+    texts = ["a b c d e f " * 9, None, "b", "", "c " * 40, "d e", "x"] * 5
+    known = {c: i for i, c in enumerate("abcdef")}
+    want = [Counter(known[w] for w in (t or "").split() if w in known) for t in texts]
+    for limit in (1, 7, 1 << 16):
+        monkeypatch.setattr(toxicity, "AT_ONCE", limit, raising=False)
+        assert [dict(zip(f.tolist(), n.tolist(), strict=True)) for f, n in toxicity.counts(texts, known, {})] == want
+
+
+def test_wide_blocks_give_the_exact_nearest():
+    index, _, r = random_index(n=5000, nf=400, seed=8)
+    assert index.blocks <= toxicity.BLOCKS and index.size > toxicity.BLOCK
+    m = np.concatenate(index.dense, 1)[:, : len(index.ids)]
+    for _ in range(200):
+        f, w = index.vector(Counter({int(x): int(c) for x, c in zip(r.choice(400, 4, replace=False), r.integers(1, 4, 4))}))
+        got, sims = index.nearest(f, w)
+        exact = w @ m[f]
+        assert np.allclose(np.sort(exact[exact > 0])[::-1][:30], sims) and np.allclose(exact[got], sims)
