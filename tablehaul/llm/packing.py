@@ -14,7 +14,8 @@ packs the same again.
 A sequence at a power of two needs no padding by the contract; the cuts never aim at that.
 
 Tokens: a chunk between white spaces always gives the same ids, so ids of chunks seen are kept (``CACHE`` of them at
-most) and only new chunks go through the tokenizer, plain words once whatever their case and marks. ``ids_of`` equals encoding the whole text, which a test holds it to.
+most, those not met for long go first) and only new chunks go through the tokenizer, plain words once whatever their
+case and marks. ``ids_of`` equals encoding the whole text, which a test holds it to.
 
 Defined results: a null or empty text is the end token alone; repeated rows are packed each; a null doc_id stays null;
 other columns are ignored; an empty table gives no rows.
@@ -41,19 +42,22 @@ CACHE = 1_200_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: White space to Python's split, but not to the tokenizer.
 ODD = re.compile("[\x1c-\x1f]")
-#: Words whose ids are those of the small letters and those of the marks: the tokenizer folds case and parts letters from marks.
-PLAIN = re.compile("([A-Za-z]+)([.,;:!?]*)")
+#: Words whose ids are those of the small letters and those of the marks: the tokenizer folds case and parts letters from
+#: a run of marks. Latin-1's letters are each one code point in every form it knows; ASCII's marks all count.
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\\[-`{-~]*)")
 _made: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """Text to packed little-endian uint32 ids, by chunks seen before where possible."""
+    """Text to packed little-endian uint32 ids, by chunks seen before where possible: ``seen`` is half of them at most,
+    ``old`` what it held when it was last full."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.seen: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         size = self.tok.get_vocab_size()
         self.ends = np.zeros(size + 1, bool)
         for token, i in self.tok.get_vocab().items():
@@ -65,14 +69,21 @@ class Encoder:
 
     def learn(self, chunks: list[str]) -> None:
         """Ids of new chunks, many in one call. Words with the same letters are encoded once."""
-        seen, split, new = self.seen, [], {}
+        seen, old, split, new = self.seen, self.old, [], {}
         for c in chunks:
-            if m := PLAIN.fullmatch(c):
-                word, tail = m[1].lower(), m[2]
-                split.append((c, word, tail))
-                for x in (word, tail):
-                    if x not in seen:
-                        new[x] = None
+            if c in old:
+                seen[c] = old[c]
+            elif parts := (c, "") if c.isascii() and c.isalpha() else (m := PLAIN.fullmatch(c)) and m.groups():
+                word, tail = parts[0].lower(), parts[1]
+                if word not in seen:
+                    if word in old:
+                        seen[word] = old[word]
+                    else:
+                        new[word] = None
+                if tail and tail not in seen:
+                    new[tail] = None
+                if c != word:
+                    split.append((c, word, tail))
             else:
                 new[c] = None
         todo = list(new)
@@ -81,15 +92,15 @@ class Encoder:
             for c, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 seen[c] = array("I", e.ids).tobytes()
         for c, word, tail in split:
-            seen[c] = seen[word] + seen[tail]
+            seen[c] = seen[word] + seen[tail] if tail else seen[word]
 
     def ids_of(self, text: str) -> bytes:
         if ODD.search(text):
             return self.direct(text)
         chunks = text.split()
         if new := set(chunks).difference(self.seen):
-            if len(self.seen) + 3 * len(new) > CACHE:
-                self.seen.clear()
+            if len(self.seen) + 3 * len(new) > CACHE // 2:
+                self.old, self.seen = self.seen, {}
                 new = set(chunks)
             self.learn(list(new))
         return b"".join(map(self.seen.__getitem__, chunks))
@@ -108,18 +119,19 @@ def encoder(path: str) -> Encoder:
 def candidates(ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray, size: int = SIZE, sentence: int = SENTENCE, forced: int = FORCED, grid: int = GRID) -> tuple[np.ndarray, np.ndarray]:
     """Rising cut positions and their penalties; no two neighbours are more than ``grid`` apart, nor is the first from 0."""
     grid = min(grid, size)
-    at = np.flatnonzero(ends[np.minimum(ids, len(ends) - 1)]) + 1
-    pos = np.unique(np.concatenate([at, doc_ends]))
-    gaps = np.diff(np.concatenate([[0], pos]))
+    free = np.zeros(len(ids) + 1, bool)
+    free[doc_ends] = True
+    stop = free.copy()
+    stop[1:] |= ends[np.minimum(ids, len(ends) - 1)]
+    pos = out = np.flatnonzero(stop)
+    gaps = np.diff(pos, prepend=0)
     wide = np.flatnonzero(gaps > grid)
     if len(wide):
-        low = np.concatenate([[0], pos])[wide]
-        more = np.concatenate([np.arange(a + grid, a + g, grid) for a, g in zip(low, gaps[wide], strict=True)])
-        out = np.union1d(pos, more)
-        penalty = np.where(np.isin(out, pos), sentence, forced)
-    else:
-        out, penalty = pos, np.full(len(pos), sentence)
-    return out, np.where(np.isin(out, doc_ends), 0, penalty)
+        more = np.concatenate([np.arange(b - g + grid, b, grid) for b, g in zip(pos[wide].tolist(), gaps[wide].tolist(), strict=True)])
+        either = stop.copy()
+        either[more] = True
+        out = np.flatnonzero(either)
+    return out, np.where(free[out], 0, np.where(stop[out], sentence, forced))
 
 
 def cuts(pos: np.ndarray, penalty: np.ndarray, size: int = SIZE) -> list[int]:

@@ -95,3 +95,51 @@ def test_words_of_the_same_letters_are_encoded_once():
     got = e.ids_of(more)
     e.tok = tok
     assert got == e.direct(more) and sorted(x for x in sent if x.isalpha()) == ["other"]
+
+
+class Counting:
+    def __init__(self, tok):
+        self.tok, self.sent = tok, []
+
+    def encode_batch_fast(self, part, add_special_tokens):
+        self.sent.extend(part)
+        return self.tok.encode_batch_fast(part, add_special_tokens=add_special_tokens)
+
+
+def test_accents_and_all_marks_share_a_words_ids():
+    e = packing.Encoder(TOK)
+    text = "Échpa échpa, ÉCHPA$$$ échpa%%% straße STRASSE Straße### ÿ Ÿ ÀÖØöøÿ' don't don' don'' x<|endoftext|> x<| x|> a^_^ a\\ a[0] é É́ µ ª"
+    want = e.direct(text)
+    e.tok = counting = Counting(e.tok)
+    assert e.ids_of(text) == want
+    assert [x for x in counting.sent if "chpa" in x] == ["échpa"] and "straße###" not in counting.sent
+
+
+def test_words_still_in_use_survive_a_full_store(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 40)
+    e = packing.Encoder(TOK)
+    e.tok, tok = Counting(e.tok), e.tok
+    for i in range(60):
+        e.tok.sent.clear()
+        assert e.ids_of(f"common Word{'abcdefghij'[i % 10]}{'klmnop'[i // 10]}") == np.array(tok.encode(f"common Word{'abcdefghij'[i % 10]}{'klmnop'[i // 10]}", add_special_tokens=False).ids, "<u4").tobytes()
+        assert len(e.seen) + len(e.old) <= 40 and ("common" in e.tok.sent) == (i == 0)
+
+
+def slow_candidates(ids, doc_ends, ends, size, sentence, forced, grid):
+    grid, pen, low = min(grid, size), {}, 0
+    for p in sorted({i + 1 for i, t in enumerate(ids) if ends[min(t, len(ends) - 1)]} | set(doc_ends)):
+        pen |= {q: forced for q in range(low + grid, p, grid)} | {p: 0 if p in doc_ends else sentence}
+        low = p
+    return sorted(pen), [pen[p] for p in sorted(pen)]
+
+
+def test_candidates_equal_the_slow_way_without_sets(monkeypatch):
+    r = np.random.default_rng(4)
+    for name in ("unique", "union1d", "isin"):  # they hash in this numpy, which took half of the packing's time
+        monkeypatch.setattr(np, name, None)
+    for _ in range(200):
+        n, size, grid = int(r.integers(1, 400)), int(r.integers(4, 60)), int(r.integers(2, 80))
+        ids, ends = r.integers(0, 30, n), r.random(20) < 0.1
+        doc_ends = sorted({*r.integers(1, n + 1, 3).tolist(), n})
+        pos, pen = packing.candidates(ids, np.array(doc_ends), ends, size, 3, 9, grid)
+        assert (pos.tolist(), pen.tolist()) == slow_candidates(ids.tolist(), doc_ends, ends, size, 3, 9, grid)
