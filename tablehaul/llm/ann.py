@@ -1,15 +1,21 @@
 """Approximate nearest neighbours by additive quantisation.
 
-A vector is the sum of one codeword from each of ``M`` codebooks; every codeword has the full dimension. Codebooks
+A vector of length 1 is the sum of one codeword from each of ``M`` codebooks; every codeword has the full dimension. Codebooks
 start as k-means of the residuals, then alternate: beam-search encoding of the sample, and a least-squares update of
 all codebooks at once. Codebooks are fitted on a bounded sample (``SAMPLE`` rows in hash order); every row is encoded.
-A row keeps ``M`` bytes and two norms, of the vector and of its code. A query scores all rows by ``M`` table look-ups
-each (its inner products with all codewords), scaled by the stored norms; the best ``RERANK`` are compared again on the
-original vectors in double precision.
+A row keeps its length, ``M`` bytes, the factor that makes its code's length 1 and the distance from that to its own
+direction. A query scores all rows by ``M`` table look-ups each (its inner products with all codewords), scaled by these;
+the best ``RERANK`` are compared again on the original vectors in double precision.
+
+An exact check follows, for no fixed depth suffices for all tables (many dimensions, lengths far apart, directions that
+the sample has not): a row's score is at most its code's plus that distance, times both lengths. Every row whose bound
+reaches the query's ``top``-th score found so far is compared too, so the answer is that of a search of all vectors,
+whatever the quantiser is worth; a worse one only leaves more to compare.
 
 Scoring goes block by block: blocks of queries meet blocks of codes by their block numbers, and each meeting returns
 ``RERANK`` rows a query. Blocks have fixed sizes, so no task grows with the data, and codes (not vectors) are what
-moves. Queries against all rows is the search asked for; its work is queries times rows.
+moves. Queries against all rows is the search asked for; its work is queries times rows. In the check ``ASKED`` bytes of
+queries at most go to all tasks at once; each reads its own rows and returns ``top`` a query at most.
 
 Defined results: vectors that are null, empty, zero, hold a null or non-finite component, or differ in length from
 most take no part, nor do rows without an id; of rows with one id the least vector counts; equal scores go to the
@@ -25,11 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged, staged_parts
 
 M, CODES, BEAM, SAMPLE, ROUNDS = 40, 32, 4, 8192, 2
 TOP, RERANK, EVERY = 20, 200, 20
 QUERY_BLOCK, CODE_BLOCK = 256, 65_536
+ASKED, AT_ONCE, SLACK = 8 << 20, 4096, 1e-4  # SLACK: more than single precision can be off, for vectors of length 1
 
 
 def sound(embeddings: DataFrame, dim: int | None = None) -> DataFrame:
@@ -103,19 +110,31 @@ def fit(x: np.ndarray, m: int = M, k: int = CODES, rounds: int = ROUNDS, beam: i
     return out
 
 
+def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors of length 1, lengths), in double precision, however large or small the components are."""
+    most = np.abs(x).max(1)
+    x = x / most[:, None]
+    norm = np.linalg.norm(x, axis=1)
+    return x / norm[:, None], norm * most
+
+
 def encoded(vectors: DataFrame, books: np.ndarray, beam: int = BEAM) -> DataFrame:
-    """vec_id, codes, norm (of the vector) and code_norm (of its code)."""
+    """vec_id, embedding, codes, norm, scale (the code's own length is 1 / scale) and rest (the scaled code's distance from the vector's direction)."""
+    kind = dict(vectors.dtypes)["embedding"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            x = np.asarray(b.column(1).flatten().to_numpy(), np.float32).reshape(b.num_rows, -1)
-            codes = encode(x, books, beam)
-            back = decode(codes, books)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(np.linalg.norm(x, axis=1).astype(float)), pa.array(np.linalg.norm(back, axis=1).astype(float))], ["vec_id", "codes", "norm", "code_norm"])
+            x, norm = directions(np.asarray(b.column(1).flatten().to_numpy(), float).reshape(b.num_rows, -1))
+            codes = encode(x.astype(np.float32), books, beam)
+            back = decode(codes, books).astype(float)
+            size = np.linalg.norm(back, axis=1)
+            scale = np.divide(1.0, size, out=np.zeros_like(size), where=size > 0)
+            rest = np.linalg.norm(x - back * scale[:, None], axis=1)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), *map(pa.array, (norm, scale, rest))], ["vec_id", "embedding", "codes", "norm", "scale", "rest"])
 
-    return vectors.mapInArrow(run, "vec_id long, codes binary, norm double, code_norm double")
+    return vectors.mapInArrow(run, f"vec_id long, embedding {kind}, codes binary, norm double, scale double, rest double")
 
 
 def look_up(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -133,6 +152,106 @@ def first_best(s: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([above, np.flatnonzero(s == edge)[: n - len(above)]])
 
 
+def exact_scores(a: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return (a * c).sum(1)
+
+
+def first_copies(ids: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    """Places of the rows that fewer than ``n`` equal ones with smaller ids precede."""
+    kind = np.unique(np.ascontiguousarray(x).view(f"V{x.shape[1] * x.itemsize}"), return_inverse=True)[1].ravel()
+    order = np.lexsort((ids, kind))
+    kind = kind[order]
+    return np.sort(order[np.arange(len(kind)) - np.searchsorted(kind, kind) < n])
+
+
+class Nearest:
+    """Each query's ``top`` nearest of the rows that a task has met and that reach the least score asked for."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, least: np.ndarray, books: np.ndarray, top: int):
+        self.ids, self.vectors, self.least, self.books, self.top = ids, vectors, least.copy(), books, top
+        self.units, self.norms = directions(vectors)
+        self.held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)  # query's place, vec_id, score
+
+    def add(self, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norm: np.ndarray, scale: np.ndarray, rest: np.ndarray) -> None:
+        back = (decode(codes, self.books) * scale[:, None]).astype(np.float32)
+        slack = 1e-12 * x.shape[1]
+        for at in range(0, len(self.ids), QUERY_BLOCK):
+            part = slice(at, at + QUERY_BLOCK)
+            most = (self.units[part].astype(np.float32) @ back.T).astype(float)
+            most += rest + SLACK
+            most *= norm
+            may = most * self.norms[part, None] >= self.least[part, None]
+            may &= self.ids[part, None] != ids
+            rows = np.flatnonzero(may.any(0))
+            if not len(rows):
+                continue
+            s = self.vectors[part] @ x[rows].T
+            s += slack * self.norms[part, None] * norm[rows]
+            q, r = np.nonzero(may[:, rows] & ~(s < self.least[part, None]))
+            if len(q) > self.top:  # far more than can be among the nearest where the least score is low, or where rows are equal
+                s[~may[:, rows]] = -np.inf
+                q, r = self.reaching(s, q, r, 2 * slack * self.norms[part, None] * norm[rows])
+            self.take(q + at, ids[rows[r]], x, rows[r])
+
+    def reaching(self, s: np.ndarray, q: np.ndarray, r: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the pairs that can be among the ``top`` of these rows."""
+        if s.shape[1] <= self.top:
+            return q, r
+        edge = np.partition(s - off, s.shape[1] - self.top, axis=1)[:, s.shape[1] - self.top]
+        keep = s[q, r] >= edge[q]
+        return q[keep], r[keep]
+
+    def take(self, q: np.ndarray, ids: np.ndarray, x: np.ndarray, rows: np.ndarray) -> None:
+        step = max(1, (1 << 20) // x.shape[1])
+        for i in range(0, len(q), step):
+            k = slice(i, i + step)
+            score = exact_scores(self.vectors[q[k]], x[rows[k]])
+            fine = score >= self.least[q[k]]
+            new = q[k][fine], ids[k][fine], score[fine]
+            mine = np.isin(self.held[0], new[0])
+            q_, v, s = (np.concatenate([h[mine], n]) for h, n in zip(self.held, new, strict=True))
+            order = np.lexsort((v, -s, q_))
+            q_, v, s = q_[order], v[order], s[order]
+            place = np.arange(len(q_)) - np.searchsorted(q_, q_)
+            last = place == self.top - 1
+            self.least[q_[last]] = np.maximum(self.least[q_[last]], s[last])
+            best = place < self.top
+            self.held = tuple(np.concatenate([h[~mine], n[best]]) for h, n in zip(self.held, (q_, v, s), strict=True))
+
+
+def checked(codes: DataFrame, asked: DataFrame, books: np.ndarray, top: int) -> DataFrame:
+    """query_id, vec_id, score: all rows that are among a query's ``top`` nearest, and some others. ``asked``: query_id, qv,
+    least (a score that ``top`` rows reach, or none)."""
+    sc, dim = codes.sparkSession.sparkContext, books.shape[2]
+    parts = max(1, -(-asked.count() * dim * 8 // ASKED))
+
+    def part(i: int) -> Iterator[DataFrame]:
+        got = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i).select("query_id", "qv", "least").toArrow().combine_chunks()
+        qid = got.column(0).to_numpy()
+        qv = np.asarray(got.column(1).combine_chunks().flatten().to_numpy(), float).reshape(len(qid), dim)
+        sent = sc.broadcast((qid, qv, got.column(2).to_numpy(), books))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            near = Nearest(*sent.value, top)
+            for whole in batches:
+                for at in range(0, whole.num_rows, AT_ONCE):
+                    b = whole.slice(at, AT_ONCE)
+                    x = np.asarray(b.column(1).flatten().to_numpy(), float).reshape(b.num_rows, dim)
+                    code = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8 if near.books.shape[1] <= 256 else np.uint16).reshape(b.num_rows, -1)
+                    ids = b.column(0).to_numpy()
+                    some = first_copies(ids, x, top + 1)  # the query itself may be one
+                    near.add(ids[some], x[some], code[some], *(b.column(k).to_numpy()[some] for k in (3, 4, 5)))
+            q, v, s = near.held
+            for at in range(0, len(q), 1 << 16):
+                k = slice(at, at + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(near.ids[q[k]]), pa.array(v[k]), pa.array(s[k])], ["query_id", "vec_id", "score"])
+
+        yield codes.select("vec_id", "embedding", "codes", "norm", "scale", "rest").mapInArrow(run, "query_id long, vec_id long, score double")
+        sent.unpersist()
+
+    return staged_parts((df for i in range(parts) for df in part(i)), "ann-checked")
+
+
 def search(embeddings: DataFrame, every: int = EVERY, top: int = TOP, rerank: int = RERANK, m: int = M, k: int = CODES, sample: int = SAMPLE, query_block: int = QUERY_BLOCK, code_block: int = CODE_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id ``every`` divides, its ``top`` nearest other rows by inner product."""
     spark = embeddings.sparkSession
@@ -143,15 +262,19 @@ def search(embeddings: DataFrame, every: int = EVERY, top: int = TOP, rerank: in
         return spark.createDataFrame([], schema)
     dim, total = sizes[0].d, sizes[0].n
     vectors = all_ok.filter(F.col("embedding").isNotNull() & (F.size("embedding") == dim))
+    if dict(embeddings.dtypes)["embedding"] == "array<float>":  # as they came, which is exact
+        vectors = vectors.withColumn("embedding", F.col("embedding").cast("array<float>"))
     some = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow()  # the bounded sample
-    x = np.asarray(some.column(0).combine_chunks().flatten().to_numpy(), np.float32).reshape(-1, dim)
+    x = directions(np.asarray(some.column(0).combine_chunks().flatten().to_numpy(), float).reshape(-1, dim))[0]
     books = fit(x, m, min(k, max(1, len(x))))
     width = np.uint8 if books.shape[1] <= 256 else np.uint16
     codes = staged(encoded(vectors, books), "ann-codes")
+    vectors = codes.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    longest = codes.agg(F.max("norm")).first()[0]
     is_query = F.col("vec_id") % every == 0
     # Blocks are hash groups of a fixed mean size, since each id is there once.
     n_code, n_query = -(-total // code_block), max(1, -(-total // (every * query_block)))
-    cands = codes.withColumn("scale", F.coalesce(F.col("norm") / F.nullif(F.col("code_norm"), F.lit(0.0)), F.lit(0.0))).groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n_code)).alias("cb")).agg(F.collect_list(F.struct("vec_id", "codes", "scale")).alias("c"))
+    cands = codes.withColumn("scale", F.col("scale") * (F.col("norm") / longest)).groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n_code)).alias("cb")).agg(F.collect_list(F.struct("vec_id", "codes", "scale")).alias("c"))
     queries = vectors.filter(is_query).groupBy(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_query)).alias("qb")).agg(F.collect_list(F.struct("vec_id", "embedding")).alias("q"))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
     # Both sides name the meetings they take part in, so each meeting is a key of its own and no task gets a block's whole row of them.
@@ -162,7 +285,7 @@ def search(embeddings: DataFrame, every: int = EVERY, top: int = TOP, rerank: in
             for i in range(b.num_rows):
                 q, c = b.column("q")[i].values, b.column("c")[i].values
                 qid = q.field("vec_id").to_numpy()
-                qv = np.asarray(q.field("embedding").flatten().to_numpy(), np.float32).reshape(len(qid), dim)
+                qv = directions(np.asarray(q.field("embedding").flatten().to_numpy(), float).reshape(len(qid), dim))[0].astype(np.float32)
                 cid = c.field("vec_id").to_numpy()
                 order = np.argsort(cid)
                 code = np.frombuffer(b"".join(c.field("codes").to_pylist()), width).reshape(len(cid), -1).astype(np.intp)[order]
@@ -186,8 +309,13 @@ def search(embeddings: DataFrame, every: int = EVERY, top: int = TOP, rerank: in
         for b in batches:
             if b.num_rows:
                 a, c = (b.column(i).flatten().to_numpy().reshape(b.num_rows, dim) for i in (2, 3))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((a * c).sum(1))], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(exact_scores(a, c))], ["query_id", "vec_id", "score"])
 
     scored = pairs.select("query_id", "vec_id", "qv", "cv").mapInArrow(exact, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    least = scored.withColumn("rank", rank).filter(F.col("rank") == top).select("query_id", F.col("score").alias("least"))
+    asked = vectors.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")).join(least, "query_id", "left")
+    asked = staged(asked.withColumn("least", F.coalesce("least", F.lit(float("-inf")))), "ann-asked")
+    out = checked(codes, asked, books, top)
+    discard(codes, asked)
+    return out.withColumn("rank", rank).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

@@ -79,3 +79,15 @@ def test_recall_on_rows_outside_the_sample(spark):
     want = np.argpartition(-s, 19, axis=1)[:, :20]
     hits = sum(len(set(g.vec_id) & set(want[k // 400].tolist())) for k, g in got.groupby("query_id"))
     assert hits / want.size >= 0.95
+
+
+def test_other_rows_lose_none_of_the_nearest(spark):
+    """More dimensions than the codes can tell apart, lengths far apart, components that single precision can't square."""
+    r = np.random.default_rng(2)
+    for x in (r.normal(size=(6000, 192)), r.normal(size=(3000, 8)) * np.exp(3 * r.normal(size=(3000, 1))), r.normal(size=(1500, 8)) * 1e25):
+        x = x.astype(np.float32)
+        df = spark.createDataFrame(__import__("pandas").DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}), "vec_id long, embedding array<float>")
+        got = ann.search(df, every=100, m=8, code_block=2500).orderBy("query_id", "rank").collect()
+        want = exact(list(enumerate(x.astype(float))), every=100)
+        assert [(g.query_id, g.vec_id) for g in got] == [(q, v) for q in sorted(want) for v, _ in want[q]]
+        assert np.allclose([g.score for g in got], [s for q in sorted(want) for _, s in want[q]], rtol=1e-9)
